@@ -7,12 +7,12 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 win AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS k FROM w, unnest(range(1, len(w) - 6)) AS u(i)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM dup, unnest(range(i, i + 8)) AS u(p) GROUP BY doc_id),
-lin AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+lin AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
 m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_text_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
   coalesce(rep.n, 0) AS n_repeat_words,
-  len(list_filter(w, x -> regexp_matches(x, '\p{Lu}[^\p{Ll}]*\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))) AS n_shouted,
-  len(list_filter(range(1, len(w)), i -> w[i] = w[i + 1])) AS n_run_words
+  len(list_filter(w, lambda x: regexp_matches(x, '\p{Lu}[^\p{Ll}]*\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))) AS n_shouted,
+  len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_run_words
   FROM w JOIN lin USING (doc_id) LEFT JOIN rep USING (doc_id)),
 r AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
   + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_text_lines THEN 8 ELSE 0 END
@@ -39,8 +39,8 @@ OP6 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 1), ' ') AS g FROM w, unnest(range(1, greatest(len(w), 2))) AS u(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both >= 80 * (x.n + y.n - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS nb FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * nb >= 80 * (x.n + y.n - nb)),
 v AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v.b, r.c FROM r JOIN v ON r.doc_id = v.a WHERE r.c < v.b),
 c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
