@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing, quality_rules, token_store
+from . import chat_quotes, decontam, line_dedup, lm_score, near_dedup, packing, quality_classifier, quality_rules, token_counts, token_store
 from .sql import ORACLES
 
 
@@ -20,6 +20,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(token_counts.line_sections(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "section", "start", "end", F.col("tokens").cast("long").alias("n_tokens"), F.col("crossing").alias("n_crossing"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read(_table(spark, sf_dir, "documents"))
 
@@ -34,12 +43,36 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link(_table(spark, sf_dir, "conversations"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("th")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_token_store, op5_line_dedup, op6_near_dedup, op8_packing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_decontamination,
+        op3_token_counts,
+        op4_token_store,
+        op5_line_dedup,
+        op6_near_dedup,
+        op7_lm_score,
+        op8_packing,
+        op9_chat_quotes,
+        op10_quality_classifier,
+    )
 }
 
 
