@@ -274,7 +274,8 @@ def lookup(keys: DataFrame, path: str, payload: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
     routed = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "shard long, key long")
-    return routed.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(read, schema)
+    # By number: sizes of keys say nothing about the ids behind them, so few keys must not be merged into one task.
+    return routed.repartition(len(shards), "shard").sortWithinPartitions("shard", "key").mapInArrow(read, schema)
 
 
 def encode_and_read(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, path: str | None = None) -> DataFrame:
