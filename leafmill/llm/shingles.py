@@ -23,7 +23,8 @@ def word_hashes(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndar
     of other than ASCII white space; A-Z are lower-cased if ``fold``. Every distinct word is hashed once a call."""
     import xxhash
 
-    flat = texts.cast(pa.large_string()).fill_null("")
+    # Copied first: casting a slice leaves offsets that do not start at 0, which ascii_lower misreads.
+    flat = pa.concat_arrays([texts]).cast(pa.large_string()).fill_null("")
     if fold:
         flat = pc.ascii_lower(flat)
     parts = pc.ascii_split_whitespace(flat)
