@@ -8,11 +8,12 @@ Jaccard similarity, with Chernoff-type concentration.
 Banding: ``rows`` coordinates make a band key. Documents of equal shingle sets are one class first, whose smallest
 doc_id stands for it. A link at similarity 0.8 shares a band but with probability (1 - 0.8**8)**64 < 8e-6.
 
-Verification never emits all pairs of a bucket. Each round, the bucket's first members (1, 2, 4, ... of them) are
-its leaders; all members are compared with them on full sets. Members in a leader's component leave the bucket:
-they are compared with a member of another component only where the triangle inequality of the Jaccard
-distance and the sets' sizes leave a link possible. Rounds go on until no bucket has two components left that
-could be linked. So of the pairs that share a band none is lost: each is compared, ruled out, or in one component.
+Verification never emits all pairs of a bucket. All members of a bucket are compared, on full sets, with its first
+member, the leader. Where some are not linked with it, all members of the leader's buckets are compared with a
+second one, the pivot (the member nearest to the leader). Those linked with the pivot are one component and need no
+comparison among themselves; every other pair goes through an exact prefix filter on the differences from the
+pivot (``open_candidates``), and what passes is compared on full sets. So of the pairs that share a band none is
+lost: each is compared, ruled out by sizes, or in one component.
 
 Defined results: a document is a row; rows of a null doc_id cannot be named, they are never linked, have a null
 component and are kept; rows of equal doc_id and text are kept or dropped together; documents without words
@@ -157,50 +158,80 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
-def _links(found: DataFrame, percent: int) -> DataFrame:
-    return found.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, a, p, n (size of a's set), both, either, diff (elements of only one of the two sets) of pairs (g, a, p)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, known = None, None
+        for b in batches:
+            n, both, either, diffs = [], [], [], []
+            for x, y, key in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
+                if key != held:
+                    held, known = key, np.frombuffer(y.as_buffer(), np.uint64)
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                d = np.setxor1d(own, known, assume_unique=True)
+                n.append(len(own))
+                both.append((len(own) + len(known) - len(d)) // 2)
+                either.append((len(own) + len(known) + len(d)) // 2)
+                diffs.append(d.view(np.int64))
+            ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *diffs])))
+            longs = [pa.array(c, pa.int64()) for c in (n, both, either)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *longs, lists], ["g", "a", "p", "n", "both", "either", "diff"])
+
+    one = sets.select(F.col("id").alias("a"), F.col("elements").alias("xa"))
+    two = sets.select(F.col("id").alias("p"), F.col("elements").alias("xp"))
+    joined = pairs.join(one, "a").join(two, "p").select("g", "a", "p", "xa", "xp")
+    return joined.mapInArrow(run, "g long, a long, p long, n long, both long, either long, diff array<long>")
+
+
+def _linked(percent: int):
+    return F.col("both") * 100 >= F.col("either") * percent
+
+
+def open_candidates(members: DataFrame, percent: int) -> DataFrame:
+    """a, b (a > b): pairs that may be linked, of members (g, a, n, diff, out) of groups, at least one of them ``out``.
+
+    A prefix filter on the differences from the group's pivot. For the sizes d of two differences, n of the sets and o
+    of the differences' overlap, a link means d1 + d2 - 2 o <= rate (n1 + n2). With the excess E = d - rate n that is
+    2 o >= E1 + E2, which is above 0 unless both are linked with the pivot. So a linked pair shares an element among
+    the first ones of both in any common order; rare elements come first, and those are few."""
+    up, down = 100 + percent, 100 - percent
+    sized = members.select("g", "a", "out", (F.size("diff") * up - F.col("n") * down).alias("e"), F.size("diff").alias("d"), "diff")
+    low = sized.groupBy("g").agg(F.min("e").alias("low"), F.min(F.when(F.col("out"), F.col("e"))).alias("low_out")).where("low_out is not null")
+    each = sized.join(low, "g").select("g", "a", "out", "e", "d", "low", "low_out", F.explode("diff").alias("x"))
+    often = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("f"))
+    order = Window.partitionBy("g", "a").orderBy("f", "x")
+    left = F.col("d") - F.row_number().over(order) + 1  # elements from here to the end
+    placed = each.join(often, ["g", "x"]).withColumn("left", left)
+    least = F.col("e") + F.when(F.col("out"), F.col("low")).otherwise(F.col("low_out"))
+    placed = placed.where((F.col("f") > 1) & (F.col("left") * (2 * up) >= least)).select("g", "x", "a", "out", "e", "left")
+    one, two = placed.where("out").alias("u"), placed.alias("m")
+    fits = F.least("u.left", "m.left") * (2 * up) >= F.col("u.e") + F.col("m.e")
+    once = F.when(F.col("m.out"), F.col("u.a") > F.col("m.a")).otherwise(F.lit(True))
+    met = one.join(two, (F.col("u.g") == F.col("m.g")) & (F.col("u.x") == F.col("m.x")) & once & fits)
+    return met.select(F.greatest("u.a", "m.a").alias("a"), F.least("u.a", "m.a").alias("b")).distinct()
 
 
 def linked_classes(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
-    """id, comp of every linked id. ``members``: key, id, n, the ids of each band key; ``sets_of`` makes the full
-    sets (id, elements) of the ids it is given."""
-    gap = (100 - percent) / 100 + 1e-9
-    keys = members.groupBy("key").agg(F.min("id").alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l")
-    live = scratch.table(members.join(keys, "key"), "buckets")  # key, id, n, l
-    sets = scratch.table(sets_of(live.select("id").distinct()), "sets")
-    found, comp, leaders = None, None, 1
-    while True:
-        fresh = live.where("id <> l").select(F.col("id").alias("a"), F.col("l").alias("b")).distinct()
-        if found is not None:
-            fresh = fresh.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        new = scratch.table(verified(fresh, sets), "verified")
-        found = new if found is None else found.union(new)
-        comp = components(_links(found, percent), scratch)
-        at = live.join(comp.withColumnRenamed("comp", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        of = comp.select(F.col("id").alias("l"), F.col("comp").alias("cl"))
-        at = at.join(of, "l", "left").withColumn("cl", F.coalesce("cl", "l"))
-        split = at.groupBy("key").agg((F.min("c") < F.max("c")).alias("open")).where("open").select("key")
-        far = found.select(F.col("a").alias("id"), F.col("b").alias("l"), (1 - F.col("both") / F.col("either")).alias("d"))
-        at = scratch.table(at.join(split, "key").join(far, ["id", "l"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))), "open")
-        if at.isEmpty():
-            return comp
-        # Of a leader's component: compared with those of other components, where a link is possible.
-        inside, outside = at.where("c = cl and id <> l"), at.where("c <> cl")
-        pairs = outside.alias("u").join(inside.alias("m"), ["key", "l"]).where(
-            (F.abs(F.col("u.d") - F.col("m.d")) <= gap) & (F.least("u.n", "m.n") * 100 >= F.greatest("u.n", "m.n") * percent)
-        )
-        cross = pairs.select(F.greatest("u.id", "m.id").alias("a"), F.least("u.id", "m.id").alias("b")).distinct()
-        more = scratch.table(verified(cross.join(found.select("a", "b"), ["a", "b"], "left_anti"), sets), "verified")
-        found = found.union(more)
-        # Next: members outside every leader's component, under new leaders, twice as many.
-        done = at.where("c = cl").select("key", "id").distinct()
-        rest = at.select("key", "id", "n").distinct().join(done, ["key", "id"], "left_anti")
-        leaders *= 2
-        order = rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= leaders)
-        heads = order.select("key", F.col("id").alias("l"))
-        live = scratch.table(rest.join(heads, "key").where("id >= l"), "buckets")
-        if live.where("id <> l").isEmpty():
-            return components(_links(found, percent), scratch)
+    """id, comp of every linked id. ``members``: key, id, the ids of each band key; ``sets_of`` makes the full sets
+    (id, elements) of the ids it is given."""
+    leaders = members.groupBy("key").agg(F.min("id").alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l")
+    pairs = scratch.table(members.join(leaders, "key").where("id <> l").select(F.col("id").alias("a"), F.col("l").alias("b")).distinct(), "pairs")
+    sets = scratch.table(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
+    first = scratch.table(verified(pairs, sets), "verified").withColumn("yes", _linked(percent))
+    # Groups that are not settled by their leader: the member nearest to it is the pivot.
+    near = F.struct(1 - F.col("both") / F.col("either"), "a")
+    groups = first.groupBy("b").agg(F.count(F.lit(1)).alias("many"), F.count_if(~F.col("yes")).alias("far"), F.min_by(F.struct("a", "yes"), near).alias("pivot"))
+    groups = groups.where("far > 0 and many > 1").select("b", F.col("pivot.a").alias("p"), F.col("pivot.yes").alias("near"))
+    left = scratch.table(first.join(groups, "b").where("a <> p").select(F.col("b").alias("g"), "a", "p", (F.col("yes") & F.col("near")).alias("by_leader")), "open")
+    second = scratch.table(differences(left.select("g", "a", "p"), sets).join(left.select("g", "a", "by_leader"), ["g", "a"]), "differences").withColumn("yes", _linked(percent))
+    inside = second.select("g", "a", "n", "diff", (~(F.col("yes") | F.col("by_leader"))).alias("out"))
+    third = scratch.table(verified(open_candidates(inside, percent), sets), "verified").withColumn("yes", _linked(percent))
+    links = first.where("yes").select("a", "b").union(second.where("yes").select("a", F.col("p").alias("b"))).union(third.where("yes").select("a", "b"))
+    return components(links, scratch)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -210,7 +241,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = sig.where("doc_id is not null and digest is not null")
     classes = scratch.table(named.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.min_by("th", "doc_id").alias("th")), "classes")
     single = named.join(classes.select("digest", "id"), "digest").where("doc_id = id").dropDuplicates(["digest"])
-    members = single.select(F.explode("keys").alias("key"), "id", "n")
+    members = single.select(F.explode("keys").alias("key"), "id")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         need = classes.join(ids, "id", "left_semi").select("id", "th")
