@@ -18,8 +18,11 @@ TYPE = "array<struct<lang:string,text:string>>"
 def pick(entries: Column | str, priority: Sequence[str] = PRIORITY) -> Column:
     """The text of the first language of ``priority`` that has a non-empty text, else of the first entry that has one."""
     full = F.filter(col(entries), lambda e: e["text"] != "")
-    wanted = [F.get(F.filter(full, lambda e, lang=lang: e["lang"] == lang), 0)["text"] for lang in priority]
-    return F.coalesce(*wanted, F.get(full, 0)["text"])
+
+    def of(lang: str) -> Column:
+        return F.get(F.filter(full, lambda e: e["lang"] == lang), 0)["text"]
+
+    return F.coalesce(*map(of, priority), F.get(full, 0)["text"])
 
 
 def without_blank(entries: Column | str) -> Column:

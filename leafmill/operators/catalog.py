@@ -47,10 +47,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("r")).select("r.*")
 
 
-def versions(entries: DataFrame, natural: bool = False) -> DataFrame:
-    """(template, version, ...) newest first: by text, or with ``natural`` by the numbers in it."""
+def version_order(natural: bool = False) -> list[Column]:
+    """Newest first: by text, or with ``natural`` by the numbers in it."""
     keys = [F.transform(F.regexp_extract_all("version", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("decimal(38,0)")).desc()] if natural else []
-    return entries.orderBy("template", *keys, F.desc("version"))
+    return [*keys, F.desc("version")]
+
+
+def versions(entries: DataFrame, natural: bool = False) -> DataFrame:
+    """(template, version, ...) newest first."""
+    return entries.orderBy("template", *version_order(natural))
 
 
 def latest_file(files: DataFrame, depth: int = 3) -> DataFrame:
@@ -61,9 +66,13 @@ def latest_file(files: DataFrame, depth: int = 3) -> DataFrame:
     return near.join(shallow, ["template", "depth"]).groupBy("template").agg(F.max_by(F.struct("*"), F.struct("directory", "name")).alias("r")).select("r.*")
 
 
+def is_fresh(at: str, now: Column, hours: float = 24) -> Column:
+    """Younger than the time to live; an entry of exactly that age is not."""
+    return F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp")) < int(hours * 3_600_000_000)
+
+
 def fresh(entries: DataFrame, at: str, now: Column, hours: float = 24) -> DataFrame:
-    """Entries younger than the time to live; one of exactly that age is not."""
-    return entries.where(F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp")) < int(hours * 3_600_000_000))
+    return entries.where(is_fresh(at, now, hours))
 
 
 def numbered(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cardinality
+
 #: The keys that hold children.
 ROLES = ("elements", "items", "statements", "annotations", "inputVariables", "outputVariables", "inoutputVariables")
 COLLECTION, LIST, ENTITY = "SubmodelElementCollection", "SubmodelElementList", "Entity"
@@ -60,6 +62,12 @@ def own_fields(node: str = "node") -> Column:
     return F.expr(f"to_json(map_filter(cast(try_parse_json({node}) AS map<string, variant>), (k, v) -> NOT (k IN ({drop}) AND coalesce(json_array_length(to_json(v)), 0) > 0)))")
 
 
+def stated_cardinality(node: str = "node") -> Column:
+    """The node's own cardinality, else that of its qualifiers, else ``[1]``."""
+    listed = F.from_json(field("qualifiers", node), "array<struct<type:string,value:string>>")
+    return F.coalesce(field("cardinality", node), cardinality.from_qualifiers(listed))
+
+
 def child_counts(nodes: DataFrame) -> DataFrame:
     """template, parent_path, role, n: direct children."""
     return nodes.groupBy("template", "parent_path", "role").agg(F.count(F.lit(1)).alias("n"))
@@ -74,7 +82,7 @@ def preview(nodes: DataFrame, max_depth: int = 2) -> DataFrame:
     number = lambda kind: F.when(F.col("model_type") == kind, F.coalesce("n", F.lit(0)))
     return out.select(
         "template", "path", "depth", "sort", "id_short", "model_type",
-        field("semanticLabel").alias("semantic_label"), F.coalesce(field("cardinality"), F.lit("[1]")).alias("cardinality"),
+        field("semanticLabel").alias("semantic_label"), stated_cardinality().alias("cardinality"),
         number(COLLECTION).alias("child_count"), F.when(F.col("model_type") == LIST, field("typeValueListElement")).alias("list_type"), number(LIST).alias("item_count"),
     )
 
