@@ -82,7 +82,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW numbers at most
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("raw"))
     base = base.select("id", "th", template(F.col("raw")).alias("canon"))
-    made = F.flatten(F.array(*[F.transform(F.coalesce(_windows("canon", w), F.array().cast("array<bigint>")), lambda h, i, w=w: F.struct(F.lit(w).alias("width"), i.alias("pos"), h.alias("hash"))) for w in widths])) if len(widths) > 1 else None
+
+    def placed(w: int) -> Column:
+        return F.transform(F.coalesce(_windows("canon", w), F.array().cast("array<bigint>")), lambda h, i: F.struct(F.lit(w).alias("width"), i.alias("pos"), h.alias("hash")))
+
+    made = F.flatten(F.array(*map(placed, widths))) if len(widths) > 1 else None
     if made is None:
         each = base.select("id", "th", F.lit(widths[0] if widths else WINDOW).alias("width"), F.posexplode(_windows("canon", widths[0] if widths else WINDOW)).alias("pos", "hash"))
     else:
