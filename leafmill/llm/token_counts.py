@@ -38,7 +38,7 @@ def line_sections(docs: DataFrame) -> DataFrame:
 
 def field_sections(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """doc_id, text, sections from a table of spans (doc_id, name, start, end); a document's spans are gathered."""
-    each = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long"), F.col("end").cast("long"), "name"))).alias("sections"))
+    each = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "name"))).alias("sections"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(each, "doc_id", "left")
 
 
