@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small
 from .shingles import mix, shingle_sets
-from .tokens import blocks
+from .tokens import blocks, forget
 
 ROWS, BANDS = 8, 64
+#: Bytes of text whose shingles and sketches are in memory at once.
+BLOCK = 1 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -74,9 +76,10 @@ def signatures(docs: DataFrame, k: int, rows: int = ROWS, bands: int = BANDS) ->
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for b in batches:
             text = b.column(2)
-            for i, j in blocks([*map(_size, text)], 4 << 20):
+            for i, j in blocks([*map(_size, text)], BLOCK):
                 sets, n = shingle_sets(text.slice(i, j - i), k)
                 some = n > 0
                 keys = band_keys(sketch(sets, n[some], rows * bands), rows, bands)
@@ -103,7 +106,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
         for b in batches:
             text = b.column(1)
-            for i, j in blocks([*map(_size, text)], 4 << 20):
+            for i, j in blocks([*map(_size, text)], BLOCK):
                 sets, n = shingle_sets(text.slice(i, j - i), k)
                 at = np.cumsum([0, *n])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([sets[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], ["id", "elements"])

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import forget
+
 MAX_FIT = 8000
 TRIPLES, LEVELS, SHAPES = 1 << 16, 10, 32
 SIZE = 65536 + TRIPLES + 256 * LEVELS + SHAPES
@@ -139,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for b in batches:
             ids = [indicators(t) for t in b.column(2).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)

@@ -109,6 +109,11 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+def forget() -> None:
+    """Drops this worker's encoders with their caches: workers outlive stages, and the next one needs the memory."""
+    _encoders.clear()
+
+
 def blocks(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``size`` characters, or of one row, so that temporary arrays stay small."""
     begin, held = 0, 0
