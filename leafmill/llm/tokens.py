@@ -20,7 +20,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of Latin letters may also end before ASCII punctuation: letters never share a pre-token with it.
 CUT = re.compile(f"[{SPACE}]*+[{LATIN}]++(?=[!-/:-@\\[-`{{-~])|[{SPACE}]*+[^{SPACE}]++|[{SPACE}]+")
 #: Pieces in the cache of a Python worker, about 200 bytes each; a full cache is emptied.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 200_000
 
 
 def vocabulary(name: str) -> str:
@@ -114,7 +114,7 @@ def forget() -> None:
     _encoders.clear()
 
 
-def blocks(texts: list[str | None], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``size`` characters, or of one row, so that temporary arrays stay small."""
     begin, held = 0, 0
     for i, t in enumerate(texts):
