@@ -20,7 +20,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of Latin letters may also end before ASCII punctuation: letters never share a pre-token with it.
 CUT = re.compile(f"[{SPACE}]*+[{LATIN}]++(?=[!-/:-@\\[-`{{-~])|[{SPACE}]*+[^{SPACE}]++|[{SPACE}]+")
 #: Pieces in the cache of a Python worker, about 200 bytes each; a full cache is emptied.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 
 
 def vocabulary(name: str) -> str:
