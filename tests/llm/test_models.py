@@ -55,6 +55,24 @@ def test_lm_losses_against_python(spark):
     assert lm_score.score(frame(spark, []), labels).count() == 0 and lm_score.score(frame(spark, rows), labels.where("false")).count() == len(rows)
 
 
+def test_lm_counts_every_word_and_pair_apart(spark):
+    """More distinct words and bigrams than any table of a fixed size should hold."""
+    rows = [(d, " ".join(f"w{(d * 9000 + i) % 300_000} b{i % 7}" for i in range(10_000))) for d in range(34)]
+    labels = spark.createDataFrame([(d, int(d % 3 == 0)) for d in range(34)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), labels).collect()}
+    models, size = [], len({w for _, t in rows for w in t.split()})
+    assert size > lm_score.WORDS and len(got) == len(rows)
+    for of in ([t for d, t in rows if d % 3 == 0], [t for _, t in rows]):
+        one, two = Counter(w for t in of for w in t.split()), Counter(p for t in of for p in zip(t.split(), t.split()[1:], strict=False))
+        models.append((one, two, sum(one.values())))
+    for d, t in rows:
+        w = t.split()
+        for (one, two, n), loss in zip(models, (got[d].target_loss, got[d].background_loss), strict=True):
+            p = [(one[x] + 1) / (n + size) for x in w]
+            q = p[:1] + [(two[v, x] + lm_score.MU * y) / (one[v] + lm_score.MU) for v, x, y in zip(w, w[1:], p[1:], strict=False)]
+            assert max(q) <= 1 and loss == pytest.approx(-sum(map(math.log, q)) / len(q), abs=1e-9)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "Where is the red house?\n\nI need it."), (1, 1, "assistant", "On the hill."), (1, 2, "user", ">  On the   HILL.\nThanks."),
