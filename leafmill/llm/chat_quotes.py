@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MARKS = r"^((?:[ \t]*>)*)[ \t]?(.*)$"
+MARKS = r"(?s)^((?:[ \t]*>)*)[ \t]?(.*)\z"
 
 
 def _normal(text: Column) -> Column:

@@ -91,6 +91,13 @@ def test_quotes(spark):
     assert chat_quotes.link(said.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["\u2028", "\u2029", "\u0085"])
+def test_quotes_keep_lines_with_unicode_line_ends(spark, mark):
+    rows = [(1, 0, "user", f"first{mark}second"), (1, 1, "user", "other"), (1, 2, "user", f"> first{mark}second\nYes{mark}no.")]
+    got = {r.turn: r for r in chat_quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0].own_text == f"first{mark}second" and got[2].own_text == f"Yes{mark}no." and (got[2].n_linked, got[2].reply_to) == (1, 0)
+
+
 def labelled(spark, n=400):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["water", "green", "stone", "river", "light", "house"]) for _ in range(40))
