@@ -9,8 +9,10 @@ numbers and names is caught, and chance agreement of placeholders is not.
 
 A document is contaminated by an item if consistent alignments cover at least ``MIN_COVER`` of its tokens.
 
-Only windows of at least half literal words are compared (a row of numbers is no template); an item of fewer tokens
-than a window is one window. Items of equal text are one: the smallest item_id is reported.
+Only windows of at least half literal words are compared as templates (a row of numbers is no template). Item windows
+below that share are also compared as the lower-cased tokens themselves, slot values included, so
+verbatim copies are found whatever their numbers and names. An item of fewer tokens than a window is one window.
+Items of equal text are one: the smallest item_id is reported.
 
 Scale: document windows are joined while they are made and never shuffled if the benchmark's windows are
 provably small enough to broadcast; otherwise both sides are shuffled by hash. After it only matches move.
@@ -52,26 +54,35 @@ def template(raw: Column) -> Column:
     return F.transform(raw, one)
 
 
+def folded(raw: Column) -> Column:
+    return F.transform(raw, F.lower)
+
+
 def _is_slot(x: Column) -> Column:
     return x.isin(NUMBER, NAME, UNIT)
 
 
 def _windows(canon: str, size: Column | int) -> Column:
-    """Hash of every window, by its 0-based first token; empty if there are fewer tokens."""
+    """Hash of every window, by its 0-based first token; null if there are fewer tokens."""
     size = F.lit(size) if isinstance(size, int) else size
     hashed = F.transform(F.sequence(F.lit(1), F.size(canon) - size + 1), lambda i: F.xxhash64(F.slice(canon, i, size)))
     return F.when(F.size(canon) >= size, hashed)
 
 
 def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, iraw, icanon) of distinct texts, and (item_id, ipos, width, hash) of their usable windows."""
+    """(item_id, iraw, icanon) of distinct texts, and (item_id, ipos, width, fold, hash) of their usable
+    windows; ``fold``: of the lower-cased tokens, not of the template."""
     one = items.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     one = one.select("item_id", tokens(F.col("text")).alias("iraw")).where(F.size("iraw") > 0)
     one = one.select("item_id", "iraw", template(F.col("iraw")).alias("icanon"))
     wide = one.select("item_id", "icanon", F.least(F.lit(WINDOW), F.size("icanon")).alias("width"))
-    each = wide.select("*", F.posexplode(_windows("icanon", F.col("width"))).alias("ipos", "hash"))
-    literal = F.size(F.filter(F.slice("icanon", F.col("ipos") + 1, F.col("width")), lambda x: ~_is_slot(x)))
-    return one, each.where(literal * 2 >= F.col("width")).select("item_id", "ipos", "width", "hash")
+    wide = wide.join(one.select("item_id", folded(F.col("iraw")).alias("ifold")), "item_id")
+    both = F.array(*(F.struct(F.lit(fold).alias("fold"), _windows(of, F.col("width")).alias("hashes")) for fold, of in ((False, "icanon"), (True, "ifold"))))
+    each = wide.select("item_id", "icanon", "width", F.explode(both).alias("w")).select("item_id", "icanon", "width", "w.fold", F.posexplode("w.hashes").alias("ipos", "hash"))
+    inside = F.slice("icanon", F.col("ipos") + 1, F.col("width"))
+    plain = F.size(F.filter(inside, lambda x: ~_is_slot(x))) * 2 >= F.col("width")
+    usable = F.when(F.col("fold"), ~plain).otherwise(plain)
+    return one, each.where(usable).select("item_id", "ipos", "width", "fold", "hash")
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -79,21 +90,19 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     item_rows, windows = (scratch.table(x, n) for x, n in zip(benchmark_windows(items), ("items", "windows"), strict=True))
     n_windows = windows.count()
-    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # WINDOW numbers at most
+    kinds = sorted((r.fold, r.width) for r in windows.select("fold", "width").distinct().collect())  # 2 * WINDOW rows at most
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("raw"))
-    base = base.select("id", "th", template(F.col("raw")).alias("canon"))
+    base = base.select("id", "th", template(F.col("raw")).alias("canon"), folded(F.col("raw")).alias("folded"))
 
-    def placed(w: int) -> Column:
-        return F.transform(F.coalesce(_windows("canon", w), F.array().cast("array<bigint>")), lambda h, i: F.struct(F.lit(w).alias("width"), i.alias("pos"), h.alias("hash")))
+    def placed(fold: bool, w: int) -> Column:
+        made = F.coalesce(_windows("folded" if fold else "canon", w), F.array().cast("array<bigint>"))
+        return F.transform(made, lambda h, i: F.struct(F.lit(fold).alias("fold"), F.lit(w).alias("width"), i.alias("pos"), h.alias("hash")))
 
-    made = F.flatten(F.array(*map(placed, widths))) if len(widths) > 1 else None
-    if made is None:
-        each = base.select("id", "th", F.lit(widths[0] if widths else WINDOW).alias("width"), F.posexplode(_windows("canon", widths[0] if widths else WINDOW)).alias("pos", "hash"))
-    else:
-        each = base.select("id", "th", F.explode(made).alias("w")).select("id", "th", "w.*")
-    hits = each.join(broadcast_if_small(windows, 64, rows=n_windows), ["width", "hash"])
+    made = F.flatten(F.array(*(placed(*k) for k in kinds or [(False, WINDOW)])))
+    each = base.select("id", "th", F.explode(made).alias("w")).select("id", "th", "w.*")
+    hits = each.join(broadcast_if_small(windows, 64, rows=n_windows), ["fold", "width", "hash"])
     shift = F.col("pos") - F.col("ipos")
-    runs = hits.groupBy("id", "th", "item_id", "width", shift.alias("shift")).agg(F.collect_set("ipos").alias("at"))
+    runs = hits.groupBy("id", "th", "item_id", "width", "fold", shift.alias("shift")).agg(F.collect_set("ipos").alias("at"))
     runs = scratch.table(runs, "runs")
     need = runs.select(F.col("id").alias("i"), F.col("th").alias("t")).distinct()
     text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("text"))
@@ -101,10 +110,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     text = text.select(F.col("id").alias("i"), F.col("th").alias("t"), tokens(F.col("text")).alias("raw")).select("i", "t", "raw", template(F.col("raw")).alias("canon"))
     both = runs.join(text, runs["id"].eqNullSafe(text["i"]) & (runs["th"] == text["t"])).join(broadcast_if_small(item_rows, 4096), "item_id")
     under = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("width") - 1))))
-    both = both.select("id", "th", "item_id", "shift", "raw", "canon", "iraw", "icanon", under.alias("under"))
-    same = F.filter("under", lambda p: F.get("icanon", p) == F.get("canon", p + F.col("shift")))
+    both = both.select("id", "th", "item_id", "shift", "fold", "raw", "canon", "iraw", "icanon", under.alias("under"))
+    value = lambda p: F.lower(F.get("iraw", p)) == F.lower(F.get("raw", p + F.col("shift")))
+    same = F.filter("under", lambda p: F.when(F.col("fold"), value(p)).otherwise(F.get("icanon", p) == F.get("canon", p + F.col("shift"))))
     both = both.withColumn("same", same)
-    slots = F.filter("same", lambda p: _is_slot(F.get("icanon", p)))
+    slots = F.filter("same", lambda p: ~F.col("fold") & _is_slot(F.get("icanon", p)))
     pair = lambda p: F.struct(F.get("icanon", p).alias("kind"), F.lower(F.get("iraw", p)).alias("item"), F.lower(F.get("raw", p + F.col("shift"))).alias("doc"))
     both = both.select("id", "th", "item_id", F.size("icanon").alias("n_tokens"), "same", F.array_distinct(F.transform(slots, pair)).alias("pairs"))
     distinct = lambda of: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[of]))))

@@ -26,6 +26,13 @@ def test_decontamination_finds_new_parameters(spark):
     assert decontam.contaminated(frame(spark, []), items).count() == 0 and decontam.contaminated(docs, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["What is 17 + 25?", "Compute 12 + 30 - 7 * 5.", "Convert 12 km to miles", "John Smith bought 12 apples, Mary Jones bought 7."])
+def test_decontamination_finds_copies_dense_in_slots(spark, text):
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"so it was {text} and then"), (2, "What is 18 + 26? Convert 9 kg to euros. Compute 1 + 2.")], "doc_id long, text string")
+    assert [(r.doc_id, r.exact) for r in decontam.contaminated(docs, items).collect()] == [(1, True)]
+
+
 def test_template_types(spark):
     row = spark.createDataFrame([("Anna paid 3.5 km and 7 euros, don't run m",)], "text string").select(decontam.tokens(F.col("text")).alias("raw"))
     got = row.select(decontam.template(F.col("raw")).alias("t")).first().t
