@@ -10,8 +10,8 @@ numbers and names is caught, and chance agreement of placeholders is not.
 A document is contaminated by an item if consistent alignments cover at least ``MIN_COVER`` of its tokens.
 
 Only windows of at least half literal words are compared as templates (a row of numbers is no template). Item windows
-below that share are also compared as the lower-cased tokens themselves, slot values included, so
-verbatim copies are found whatever their numbers and names. An item of fewer tokens than a window is one window.
+below that share, and those with a name, are also compared as the lower-cased tokens themselves, slot values included, so
+verbatim copies are found whatever their numbers, names or case. An item of fewer tokens than a window is one window.
 Items of equal text are one: the smallest item_id is reported.
 
 Scale: document windows are joined while they are made and never shuffled if the benchmark's windows are
@@ -81,7 +81,7 @@ def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = wide.select("item_id", "icanon", "width", F.explode(both).alias("w")).select("item_id", "icanon", "width", "w.fold", F.posexplode("w.hashes").alias("ipos", "hash"))
     inside = F.slice("icanon", F.col("ipos") + 1, F.col("width"))
     plain = F.size(F.filter(inside, lambda x: ~_is_slot(x))) * 2 >= F.col("width")
-    usable = F.when(F.col("fold"), ~plain).otherwise(plain)
+    usable = F.when(F.col("fold"), ~plain | F.array_contains(inside, NAME)).otherwise(plain)
     return one, each.where(usable).select("item_id", "ipos", "width", "fold", "hash")
 
 

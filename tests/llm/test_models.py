@@ -33,6 +33,13 @@ def test_decontamination_finds_copies_dense_in_slots(spark, text):
     assert [(r.doc_id, r.exact) for r in decontam.contaminated(docs, items).collect()] == [(1, True)]
 
 
+def test_decontamination_finds_copies_of_other_case(spark):
+    items = spark.createDataFrame([(1, "When did Maria meet Peter Jones in Paris, and why did Anna leave Rome for Berlin with Carl?")], "item_id long, text string")
+    text = items.first().text
+    docs = spark.createDataFrame([(1, text.lower()), (2, "x " + text.upper()), (3, "when did she leave, and why did anna go to rome")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.exact) for r in decontam.contaminated(docs, items).collect()) == [(1, True), (2, True)]
+
+
 def test_template_types(spark):
     row = spark.createDataFrame([("Anna paid 3.5 km and 7 euros, don't run m",)], "text string").select(decontam.tokens(F.col("text")).alias("raw"))
     got = row.select(decontam.template(F.col("raw")).alias("t")).first().t
