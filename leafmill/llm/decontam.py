@@ -3,9 +3,11 @@
 A text's tokens are words, numbers and unit signs. Numbers, capitalised words (names) and units after a number become
 typed placeholders, other words are lower-cased: the template. Windows of ``WINDOW`` template tokens are hashed
 and hash-joined to the benchmark's. Windows that match at the same shift between document and item are one
-alignment; in it, the template tokens are compared themselves, and the slots must be consistent: one benchmark
-value always meets the same document value, and the other way round. So a question asked anew with other
-numbers and names is caught, and chance agreement of placeholders is not.
+alignment; in it, the template tokens are compared themselves, and the slots should be consistent: one benchmark
+value always meets the same document value, and the other way round. Slots that contradict the value most of them
+agree on (equal values first) do not count as covered; the rest of the alignment does. An alignment in which two
+benchmark values meet one document value equally often, and neither is that value, is none. So a question asked anew
+with other numbers and names is caught, and chance agreement of placeholders is not.
 
 A document is contaminated by an item if consistent alignments cover at least ``MIN_COVER`` of its tokens.
 
@@ -115,11 +117,22 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     same = F.filter("under", lambda p: F.when(F.col("fold"), value(p)).otherwise(F.get("icanon", p) == F.get("canon", p + F.col("shift"))))
     both = both.withColumn("same", same)
     slots = F.filter("same", lambda p: ~F.col("fold") & _is_slot(F.get("icanon", p)))
-    pair = lambda p: F.struct(F.get("icanon", p).alias("kind"), F.lower(F.get("iraw", p)).alias("item"), F.lower(F.get("raw", p + F.col("shift"))).alias("doc"))
-    both = both.select("id", "th", "item_id", F.size("icanon").alias("n_tokens"), "same", F.array_distinct(F.transform(slots, pair)).alias("pairs"))
-    distinct = lambda of: F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p[of]))))
-    both = both.where((distinct("item") == F.size("pairs")) & (distinct("doc") == F.size("pairs")))
+    pair = lambda p: F.struct(p.alias("at"), F.get("icanon", p).alias("kind"), F.lower(F.get("iraw", p)).alias("item"), F.lower(F.get("raw", p + F.col("shift"))).alias("doc"))
+    both = both.select("id", "th", "item_id", F.size("icanon").alias("n_tokens"), "same", F.transform(slots, pair).alias("pairs"))
     both = both.withColumn("exact", F.forall("pairs", lambda p: p["item"] == p["doc"]))
+    alike = lambda p, q: (p["kind"] == q["kind"]) & (p["item"] == q["item"]) & (p["doc"] == q["doc"])
+    votes = lambda p: F.size(F.filter("pairs", lambda q: alike(p, q)))
+    weighed = F.transform("pairs", lambda p: F.struct(p["at"].alias("at"), p["kind"].alias("kind"), p["item"].alias("item"), p["doc"].alias("doc"), F.struct((p["item"] == p["doc"]).alias("equal"), votes(p).alias("votes")).alias("rank")))
+    both = both.withColumn("pairs", weighed)
+    # One item value with several document values: the best of them stays.
+    better = lambda p, q: (p["kind"] == q["kind"]) & (p["item"] == q["item"]) & (p["doc"] != q["doc"]) & (F.struct(q["rank"], q["doc"]) > F.struct(p["rank"], p["doc"]))
+    both = both.withColumn("kept", F.filter("pairs", lambda p: ~F.exists("pairs", lambda q: better(p, q))))
+    # One document value of several item values: the best stays, and where none is best the alignment is none.
+    rival = lambda p, q: (p["kind"] == q["kind"]) & (p["item"] != q["item"]) & (p["doc"] == q["doc"])
+    both = both.withColumn("kept", F.filter("kept", lambda p: ~F.exists("kept", lambda q: rival(p, q) & (q["rank"] > p["rank"]))))
+    both = both.where(~F.exists("kept", lambda p: F.exists("kept", lambda q: rival(p, q))))
+    wrong = F.array_except(F.transform("pairs", lambda p: p["at"]), F.transform("kept", lambda p: p["at"]))
+    both = both.withColumn("same", F.array_except("same", wrong))
     out = both.groupBy("id", "th", "item_id", "n_tokens").agg(F.size(F.array_distinct(F.flatten(F.collect_list("same")))).alias("covered"), F.every("exact").alias("exact"))
     return out.withColumn("coverage", F.col("covered") / F.col("n_tokens"))
 

@@ -40,6 +40,14 @@ def test_decontamination_finds_copies_of_other_case(spark):
     assert sorted((r.doc_id, r.exact) for r in decontam.contaminated(docs, items).collect()) == [(1, True), (2, True)]
 
 
+def test_decontamination_keeps_copies_with_a_changed_slot(spark):
+    item = "When did Anna pay 12 coins to the man who sold Anna the boat that Anna had seen near the old bridge of 30 stones?"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("sold Anna", "sold Ana")), (2, item.replace("30", "12")), (3, item.replace("Anna", "Maria").replace("sold Maria", "sold Mara"))]
+    got = {r.doc_id: (r.n_tokens - r.covered, r.exact) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (1, False)}
+
+
 def test_template_types(spark):
     row = spark.createDataFrame([("Anna paid 3.5 km and 7 euros, don't run m",)], "text string").select(decontam.tokens(F.col("text")).alias("raw"))
     got = row.select(decontam.template(F.col("raw")).alias("t")).first().t
