@@ -218,9 +218,9 @@ def open_candidates(members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.greatest("u.a", "m.a").alias("a"), F.least("u.a", "m.a").alias("b")).distinct()
 
 
-def linked_classes(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def linked_classes(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, names: DataFrame) -> DataFrame:
     """id, comp of every linked id. ``members``: key, id, the ids of each band key; ``sets_of`` makes the full sets
-    (id, elements) of the ids it is given."""
+    (id, elements) of the ids it is given; ``names``: c, id, the names of ids that are not their own."""
     leaders = members.groupBy("key").agg(F.min("id").alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", "l")
     pairs = scratch.table(members.join(leaders, "key").where("id <> l").select(F.col("id").alias("a"), F.col("l").alias("b")).distinct(), "pairs")
     sets = scratch.table(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
@@ -234,6 +234,9 @@ def linked_classes(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     inside = second.select("g", "a", "n", "diff", (~(F.col("yes") | F.col("by_leader"))).alias("out"))
     third = scratch.table(verified(open_candidates(inside, percent), sets), "verified").withColumn("yes", _linked(percent))
     links = first.where("yes").select("a", "b").union(second.where("yes").select("a", F.col("p").alias("b"))).union(third.where("yes").select("a", "b"))
+    if not names.isEmpty():
+        for end in ("a", "b"):
+            links = links.join(names.select(F.col("c").alias(end), "id"), end, "left").withColumn(end, F.coalesce("id", end)).select("a", "b")
     return components(links, scratch)
 
 
@@ -243,16 +246,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sig = scratch.table(signatures(docs, k), "sketches")
     named = sig.where("doc_id is not null and digest is not null")
     classes = scratch.table(named.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.min_by("th", "doc_id").alias("th")), "classes")
-    single = named.join(classes.select("digest", "id"), "digest").where("doc_id = id").dropDuplicates(["digest"])
-    members = single.select(F.explode("keys").alias("key"), "id")
+    # Classes are compared by a number of their own: the doc_id, or a hash where another class has that doc_id.
+    first = classes.groupBy("id").agg(F.min("digest").alias("least"))
+    own = F.when(F.col("digest") == F.col("least"), F.col("id")).otherwise(F.xxhash64("digest", "id"))
+    classes = scratch.table(classes.join(first, "id").select("digest", "id", "th", own.alias("c")), "numbered")
+    single = named.join(classes.select("digest", "id", "c"), "digest").where("doc_id = id").dropDuplicates(["digest"])
+    members = single.select(F.explode("keys").alias("key"), F.col("c").alias("id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        need = classes.join(ids, "id", "left_semi").select("id", "th")
+        need = classes.join(ids.select(F.col("id").alias("c")), "c", "left_semi").select("id", "th", "c")
         text = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-        return full_sets(text.join(broadcast_if_small(need, 64), ["id", "th"], "left_semi").select("id", "text").dropDuplicates(["id"]), k)
+        return full_sets(text.join(broadcast_if_small(need, 64), ["id", "th"]).select(F.col("c").alias("id"), "text").dropDuplicates(["id"]), k)
 
     # Rows of one doc_id with different texts are different documents of one name: links meet in the name.
-    comp = linked_classes(members, sets_of, percent, scratch)
+    comp = linked_classes(members, sets_of, percent, scratch, classes.where("c <> id").select("c", "id"))
     names = classes.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
     out = sig.join(names, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))

@@ -92,3 +92,10 @@ def test_defined_results(spark):
     kept = near_dedup.keep_one(docs, 2)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 9]
     assert near_dedup.near_duplicates(docs.where("false"), 2).count() == 0 and near_dedup.keep_one(docs.where("false")).count() == 0
+
+
+def test_texts_of_one_id_are_all_compared(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one + " tail"), (3, two + " tail")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs, 2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
