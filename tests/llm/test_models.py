@@ -6,54 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat_quotes, decontam, lm_score, quality_classifier
+from leafmill.llm import chat_quotes, lm_score, quality_classifier
 
 from .odd import ROWS, frame, plain
 
-ITEMS = [(1, "What is the speed of Anna Smith if she runs 12 km in 3 hours on a flat road near Berlin?"), (2, "Short item of seven words only here"), (3, None), (4, ""), (5, "what is THE speed of anna")]
-
-
-def test_decontamination_finds_new_parameters(spark):
-    items = spark.createDataFrame([(*x, "c") for x in ITEMS], "item_id long, text string, doc_id string")
-    asked = "Before. What is the speed of Peter Jones if she runs 7 km in 15 hours on a flat road near Paris? After."
-    mixed = "What is the speed of Peter Jones if she runs 7 km in 7 hours on a flat road near Peter?"
-    rows = [*ROWS, (30, "Long text " * 50 + ITEMS[0][1] + " more"), (31, asked), (32, "The weather of Anna is fine, she runs often on a road."), (33, "Short item of SEVEN words only here"), (34, mixed)]
-    docs = frame(spark, rows)
-    got = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(docs, items).collect()}
-    assert got == {(30, 1): True, (31, 1): False, (33, 2): True}  # 34: two values of the item meet one of the document
-    left = decontam.clean_documents(docs, items)
-    assert left.columns == docs.columns and left.count() == len(rows) - 3
-    assert decontam.contaminated(frame(spark, []), items).count() == 0 and decontam.contaminated(docs, items.where("false")).count() == 0
-
-
-@pytest.mark.parametrize("text", ["What is 17 + 25?", "Compute 12 + 30 - 7 * 5.", "Convert 12 km to miles", "John Smith bought 12 apples, Mary Jones bought 7."])
-def test_decontamination_finds_copies_dense_in_slots(spark, text):
-    items = spark.createDataFrame([(1, text)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, f"so it was {text} and then"), (2, "What is 18 + 26? Convert 9 kg to euros. Compute 1 + 2.")], "doc_id long, text string")
-    assert [(r.doc_id, r.exact) for r in decontam.contaminated(docs, items).collect()] == [(1, True)]
-
-
-def test_decontamination_finds_copies_of_other_case(spark):
-    items = spark.createDataFrame([(1, "When did Maria meet Peter Jones in Paris, and why did Anna leave Rome for Berlin with Carl?")], "item_id long, text string")
-    text = items.first().text
-    docs = spark.createDataFrame([(1, text.lower()), (2, "x " + text.upper()), (3, "when did she leave, and why did anna go to rome")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.exact) for r in decontam.contaminated(docs, items).collect()) == [(1, True), (2, True)]
-
-
-def test_decontamination_keeps_copies_with_a_changed_slot(spark):
-    item = "When did Anna pay 12 coins to the man who sold Anna the boat that Anna had seen near the old bridge of 30 stones?"
-    items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    rows = [(1, item.replace("sold Anna", "sold Ana")), (2, item.replace("30", "12")), (3, item.replace("Anna", "Maria").replace("sold Maria", "sold Mara"))]
-    got = {r.doc_id: (r.n_tokens - r.covered, r.exact) for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
-    assert got == {1: (1, False), 2: (1, False), 3: (1, False)}
-
-
-def test_template_types(spark):
-    row = spark.createDataFrame([("Anna paid 3.5 km and 7 euros, don't run m",)], "text string").select(decontam.tokens(F.col("text")).alias("raw"))
-    got = row.select(decontam.template(F.col("raw")).alias("t")).first().t
-    assert got == ["<c>", "paid", "<n>", "<u>", "and", "<n>", "<u>", "don't", "run", "m"]
-
-
 def test_lm_losses_against_python(spark):
     rows = [(1, "a b a b c"), (2, "a b"), (3, None), (4, ""), (None, "c c"), (2, "a b"), (5, "Z z")]
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (5, None)], "doc_id long, quality int")
