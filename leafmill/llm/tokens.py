@@ -64,8 +64,8 @@ class Encoder:
             piece = piece.strip().lower()
         return piece.encode().decode("latin-1").translate(self.letters)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text, its ids as little-endian unsigned integers of ``width``."""
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text; their ids are in ``ids`` until the next call."""
         cut = [CUT.findall(t) for t in texts]
         if len(self.ids) > CACHE_PIECES:
             self.ids.clear()
@@ -81,22 +81,26 @@ class Encoder:
                 slow.append(p)
         for p, e in zip(slow, self.tok.encode_batch_fast(slow, add_special_tokens=False), strict=True):
             self.ids[p] = array(kind, e.ids).tobytes()
+        return cut
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text, its ids as little-endian unsigned integers of ``width``."""
+        cut = self.cut(texts)
         get = self.ids.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
-    def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of every token of the text, in code points, in token order."""
-        cut = CUT.findall(text)
+    def offsets(self, pieces: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of every token of the pieces, in code points from their ``base``, and its piece."""
         if len(self.spans) > CACHE_PIECES // 3:
             self.spans.clear()
-        new = list({*cut}.difference(self.spans))
+        new = list({*pieces}.difference(self.spans))
         for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
             at = np.array(e.offsets, "<i4").reshape(-1, 2)
             self.spans[p] = (at[:, 0].tobytes(), at[:, 1].tobytes())
-        parts = [self.spans[p] for p in cut]
-        base = np.cumsum([0, *map(len, cut)])[:-1]
-        base = np.repeat(base, [len(a) // 4 for a, _ in parts]).astype(np.int64)
-        return (np.frombuffer(b"".join(a for a, _ in parts), "<i4") + base, np.frombuffer(b"".join(b for _, b in parts), "<i4") + base)
+        parts = [self.spans[p] for p in pieces]
+        of = np.repeat(np.arange(len(parts)), [len(a) // 4 for a, _ in parts])
+        starts, ends = (np.frombuffer(b"".join(x[k] for x in parts), "<i4") + base[of] for k in (0, 1))
+        return starts, ends, of
 
 
 _encoders: dict[str, Encoder] = {}
