@@ -57,19 +57,27 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def _is_number(x: Column) -> Column:
+    """Begins with a digit. Most tokens are told by their first byte."""
+    return F.when(x < "a", (x >= "0") & (x < ":")).otherwise((x >= "\x80") & x.rlike(r"^\p{N}"))
+
+
+def _is_name(x: Column) -> Column:
+    return (x >= "A") & ((x < "[") | (x >= "\x80")) & x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]") & ~x.isin(FUNCTION_WORDS)
+
+
 def template(raw: Column) -> Column:
     """Canonical tokens, one for each raw token. ``raw`` should be a column, as it is used twice."""
 
     def one(x: Column, i: Column) -> Column:
-        unit = F.lower(x).isin(UNITS) & F.coalesce(F.get(raw, i - 1).rlike(r"^\p{N}"), F.lit(False))
-        name = x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]") & ~x.isin(FUNCTION_WORDS)
-        return F.when(x.rlike(r"^\p{N}"), NUMBER).when(unit, UNIT).when(name, NAME).otherwise(F.lower(x))
+        unit = _is_number(F.get(raw, i - 1)) & F.lower(x).isin(UNITS)
+        return F.when(_is_number(x), NUMBER).when(unit, UNIT).when(_is_name(x), NAME).otherwise(F.lower(x))
 
     return F.transform(raw, one)
 
 
 def _is_slot(x: Column) -> Column:
-    return x.isin(NUMBER, NAME, UNIT)
+    return x.startswith("<")  # as no token does
 
 
 def _low(x: Column) -> Column:
@@ -122,7 +130,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     made = None
     for form in forms:
         hashes = hashed(form.select(*kept, "raw", "canon"), True, True)
-        each = hashes.select(*kept, "n", F.posexplode("hashes").alias("at", "hash")).where("hash is not null")
+        each = hashes.select(*kept, "n", F.posexplode_outer("hashes").alias("at", "hash")).where("hash is not null")
         made = each if made is None else made.union(each)
     kind = F.when(F.col("n") < SEED, 1).when(F.col("at") < F.col("n"), WINDOW).otherwise(SEED)
     made = made.select("*", kind.alias("kind"), (F.col("at") % F.col("n")).alias("pos")).where("(kind <> 4 or n < 8 and pos = 0)")
@@ -139,7 +147,8 @@ def places(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     kinds = {r.kind for r in known.select("kind").distinct().collect()}  # three values at most
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("raw"))
     base = hashed(base.select("*", template(F.col("raw")).alias("canon")), SEED in kinds, 1 in kinds)
-    each = base.select("id", "th", "n", F.posexplode("hashes").alias("at", "hash"))
+    # Outer: for others Spark adds a filter on the array's size, and takes all the expressions of the text into it once more.
+    each = base.select("id", "th", "n", F.posexplode_outer("hashes").alias("at", "hash"))
     hits = each.join(broadcast_if_small(known, 64), "hash").where(F.col("kind") == F.when(F.col("n") < SEED, 1).when(F.col("at") < F.col("n"), WINDOW).otherwise(SEED))
     pos = F.col("at") % F.col("n")
     # Windows of one hash without slots are equal, and one of them is enough.
@@ -164,7 +173,7 @@ def shared_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     both = both.withColumn("at", F.filter("at", differs))
     cut = F.transform("at", lambda p: F.struct(p["hash"].alias("hash"), p["width"].alias("width"), part("fold", p).alias("dfold"), part("canon", p).alias("dcanon")))
-    return both.select("id", "th", F.explode(cut).alias("w")).select("id", "th", "w.*").where(F.size("dfold") == F.col("width")).distinct()
+    return both.select("id", "th", F.explode_outer(cut).alias("w")).select("id", "th", "w.*").where(F.size("dfold") == F.col("width")).distinct()
 
 
 def meetings(shared: DataFrame, windows: DataFrame) -> DataFrame:
