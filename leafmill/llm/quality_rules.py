@@ -77,8 +77,8 @@ def measure(docs: DataFrame) -> DataFrame:
     same = lambda x, k: (x["s"] == F.get("s", k - 1)["s"]) | (x["s"] == F.get("s", k + 1)["s"])
     twice = F.filter("s", lambda x, k: F.coalesce(same(x, k), x["s"] == F.get("s", k + 1)["s"], x["s"] == F.get("s", k - 1)["s"], F.lit(False)))
     out = out.select("*", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("starts"))
-    shouted = F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{Ll}]*\p{Lu}[^\x20\x09-\x0D\p{Ll}]*\p{Lu}[^\x20\x09-\x0D\p{Ll}]*(?![^\x20\x09-\x0D])"))
-    runs = F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?=[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D]))"))
+    shouted = F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])" + 2 * r"[^\x20\x09-\x0D\p{Ll}\p{Lu}]*+\p{Lu}" + r"[^\x20\x09-\x0D\p{Ll}]*+(?![^\x20\x09-\x0D])"))
+    runs = F.regexp_count("t", F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))"))
     long = {
         "n_words": F.size("w"),
         "word_chars": F.char_length(F.array_join("w", "")),
