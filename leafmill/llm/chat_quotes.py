@@ -1,49 +1,56 @@
 """Quotation linking in conversations, in DataFrame functions only.
 
-A message's lines carry nested quote marks (``>``). Neighbouring lines of one level are a passage. Quoted passages are
-normalised (white space collapsed, lower case) and hashed, and joined, within the conversation, to the first earlier
-message whose own words, one of its own passages or lines are the same. The message of the shallowest, first linked
-passage is what a message replies to. Messages without a linked quote reply to the turn before theirs.
-
-Conversations come out in reply order: threads by their first turn, in a thread by turn, so every message follows
-the one it replies to; quotes are left out of the texts.
-
-Scale: a passage that is common in one conversation has one original there (the first), so the join gives one row
-a quote; nothing gathers a conversation. Threads are found by pointer jumping over linked messages only, in as many
-rounds as the logarithm of the longest chain of quotes.
-
-Defined results: a null text is the empty text; messages of a null conv_id or turn are linked to nothing; repeated
-(conv_id, turn) rows are all returned, with what their name links to; a message that only quotes has an
-empty text; other columns are ignored.
+A message's lines carry nested quote marks (``>``). Neighbouring lines of one level are a passage. A quoted passage's
+words (white space apart, lower case) are hashed as one, and joined, within the conversation, to the first earlier
+message whose own words hold the same run, from the start of a line or sentence on, whatever its line breaks. So whole
+messages, some of their lines, and sentences of a line are found. The message of the shallowest, first linked
+passage is what a message replies to; one without a linked quote replies to the turn before it.
+
+Conversations are in reply order: a thread is a message that replies to none and all that follows from it; in it every
+message is followed by its first reply and what that leads to, then by its other replies, each with what it leads to.
+``position`` counts from 0 in a conversation; quotes are left out of the texts.
+
+Scale: of an original, runs of those lengths only are hashed that its conversation quotes, and the first message of
+each run is kept, so the join gives one row a quote; nothing gathers a conversation. Replies are followed by pointer
+doubling, in as many rounds as the logarithm of the longest chain; positions are counted in ranges of the order.
+
+Defined results: a null text is the empty text; messages of a null conv_id or turn are linked to nothing, are a thread
+of their own and have no position; repeated (conv_id, turn) rows are all returned, with what their name links to, each
+with its own position; a message that only quotes has an empty text; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import WORD, Scratch, broadcast_if_small
 
-MARKS = r"(?s)^((?:[ \t]*>)*)[ \t]?(.*)\z"
+# Possessive, as Java's matcher recurses on other repeats of groups and runs out of stack.
+QUOTED = r"^[ \t]*+>"
+MARKS = r"(?s)^((?:[ \t]*+>)*+)[ \t]?(.*)\z"
+#: What comes before the start of a line or sentence.
+BREAK = r"(\n[\x20\x09-\x0D]*+|[.!?…][\"'”’)\]]*+[\x20\x09-\x0D]++)"
+START = "\x01"
 
 
-def _normal(text: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(" ")))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.translate(text, START, "")), F.lit(WORD), F.lit(0))
 
 
-def _hash(text: Column) -> list[Column]:
-    return [F.xxhash64(_normal(text)).alias("a"), F.hash(_normal(text)).alias("b")]
+def _hash(words: Column) -> Column:
+    return F.struct(F.xxhash64(words).alias("a"), F.hash(words).alias("b"))
 
 
 def passages(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, parts: array of (level, text) in order. Level 0 is the author's own."""
     text = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("\r"), F.lit(""))
     head = messages.select(F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").alias("role"), F.split(text, "\n", -1).alias("raw"))
-    marks = F.transform("raw", lambda x: F.regexp_count(F.regexp_extract(x, MARKS, 1), F.lit(">")))
-    words = F.transform("raw", lambda x: F.regexp_extract(x, MARKS, 2))
+    marks = F.transform("raw", lambda x: F.when(x.rlike(QUOTED), F.regexp_count(F.regexp_extract(x, MARKS, 1), F.lit(">"))).otherwise(0))
+    words = F.transform("raw", lambda x: F.when(x.rlike(QUOTED), F.regexp_extract(x, MARKS, 2)).otherwise(x))
     lines = head.select("conv_id", "turn", "role", marks.alias("level"), words.alias("line"))
     first = F.filter(F.sequence(F.lit(0), F.size("level") - 1), lambda i: (i == 0) | (F.get("level", i) != F.get("level", i - 1)))
-    lines = lines.withColumn("at", first)
+    lines = lines.select("*", first.alias("at"))
 
     def part(i: Column, k: Column) -> Column:
         end = F.coalesce(F.get("at", k + 1), F.size("level"))
@@ -52,10 +59,15 @@ def passages(messages: DataFrame) -> DataFrame:
     return lines.select("conv_id", "turn", "role", F.transform("at", part).alias("parts"))
 
 
+def named(parsed: DataFrame) -> DataFrame:
+    return parsed.where("conv_id is not null and turn is not null")
+
+
 def quotes(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, level, a, b: every quoted passage with words in it."""
-    each = parsed.select("conv_id", "turn", F.posexplode("parts").alias("pos", "p")).where("p.level > 0 and conv_id is not null and turn is not null")
-    return each.select("conv_id", "turn", "pos", "p.level", "p.text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("conv_id", "turn", "pos", "level", *_hash(F.col("text")))
+    """conv_id, turn, pos, level, n (words), h: every quoted passage with words in it."""
+    each = named(parsed).select("conv_id", "turn", F.posexplode(F.filter("parts", lambda p: p["level"] > 0)).alias("pos", "p"))
+    each = each.select("conv_id", "turn", "pos", "p.level", _words(F.col("p.text")).alias("w")).where(F.size("w") > 0)
+    return each.select("conv_id", "turn", "pos", "level", F.size("w").alias("n"), _hash(F.col("w")).alias("h"))
 
 
 def own_text(parts: Column) -> Column:
@@ -63,54 +75,80 @@ def own_text(parts: Column) -> Column:
     return F.regexp_replace(F.btrim(F.array_join(own, "\n"), F.lit(" \t\n")), r"\n{3,}", "\n\n")
 
 
-def originals(parsed: DataFrame) -> DataFrame:
-    """conv_id, a, b, said (the first turn): the messages' own texts, passages and lines."""
-    own = F.transform(F.filter("parts", lambda p: p["level"] == 0), lambda p: p["text"])
-    units = F.concat(F.array(own_text(F.col("parts"))), own, F.flatten(F.transform(own, lambda x: F.split(x, "\n", -1))))
-    each = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.array_distinct(units)).alias("text"))
-    each = each.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("conv_id", "turn", *_hash(F.col("text")))
-    return each.groupBy("conv_id", "a", "b").agg(F.min("turn").alias("said"))
-
-
-def threads(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """conv_id, turn, thread, depth of messages that reply to another (conv_id, turn, to): pointers are doubled
-    until they all end at a message that replies to none."""
-    now = scratch.table(links.select("conv_id", "turn", F.col("to").alias("thread"), F.lit(1).cast("long").alias("depth")), "threads")
-    while True:
-        far = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"))
-        step = now.join(far, ["conv_id", "thread"], "left")
-        new = scratch.table(step.select("conv_id", "turn", F.coalesce("further", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved")), "threads")
-        if new.where("moved").isEmpty():
-            return new.drop("moved")
-        now = new.drop("moved")
+def originals(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv_id, n, h, said (the first turn): runs of ``n`` own words from a line's or sentence's start, for the numbers
+    of words that quotes of the conversation have."""
+    asked = quoted.select("conv_id", "n").distinct()
+    spoken = F.translate(own_text(F.col("parts")), START, "")
+    said = named(parsed).join(broadcast_if_small(asked, 40), "conv_id").select("conv_id", "turn", "n", F.regexp_extract_all(F.regexp_replace(F.lower(spoken), BREAK, "$1" + START), F.lit(WORD), F.lit(0)).alias("marked"))
+    at = F.filter(F.transform("marked", lambda x, i: F.when((i == 0) | x.startswith(START), i)), lambda i: i + F.col("n") <= F.size("marked"))
+    said = said.select("conv_id", "turn", "n", at.alias("at"), F.transform("marked", lambda x: F.ltrim(x, F.lit(START))).alias("w"))
+    # Outer: for others Spark adds a filter on the array's size, and takes all the expressions of the text into it once more.
+    runs = said.select("conv_id", "turn", "n", F.explode_outer(F.transform("at", lambda i: _hash(F.slice("w", i + 1, F.col("n"))))).alias("h"))
+    return runs.where("h is not null").groupBy("conv_id", "n", "h").agg(F.min("turn").alias("said"))
+
+
+def threads(replies: DataFrame, scratch: Scratch) -> DataFrame:
+    """conv_id, turn, thread, depth, branch of messages that reply to another (conv_id, turn, reply_to): pointers are doubled until
+    all end at a message that replies to none. ``branch``: the replies on the way there that are not the first to their
+    message, as (-reply_to, turn); in its order, then by depth, messages are in reply order."""
+    first = replies.groupBy("conv_id", "reply_to").agg(F.min("turn").alias("first"))
+    start = replies.join(first, ["conv_id", "reply_to"])
+    step = F.struct((-F.col("reply_to")).alias("to"), F.col("turn").alias("turn"))
+    here = F.when(F.col("turn") == F.col("first"), F.array().cast("array<struct<to:bigint,turn:bigint>>")).otherwise(F.array(step))
+    now = scratch.table(start.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth"), here.alias("branch")), "threads")
+    done = None
+    while not now.isEmpty():
+        far = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"), F.col("branch").alias("before"))
+        new = now.join(far if done is None else far.unionByName(done.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("further"), F.col("depth").alias("more"), F.col("branch").alias("before"))), ["conv_id", "thread"], "left")
+        deep = F.coalesce(F.concat("before", "branch"), F.col("branch"))
+        new = scratch.table(new.select("conv_id", "turn", F.coalesce("further", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), deep.alias("branch"), F.col("further").isNotNull().alias("moved")), "threads")
+        end = new.where("not moved").drop("moved")  # these point at a message that replies to none
+        done, now = end if done is None else done.unionByName(end), new.where("moved").drop("moved")
+    return done if done is not None else now
+
+
+def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``position``, counted in each conversation in ranges of the whole order."""
+    order = ("conv_id", "thread", "branch", "depth", "turn")
+    ranged = scratch.table(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ordered")
+    local = ranged.withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order[1:], "role", "own_text")))
+    sizes = ranged.where("conv_id is not null").groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("conv_id", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    out = local.join(sizes, ["conv_id", "range"], "left")
+    return out.withColumn("position", F.when(F.col("turn").isNotNull(), F.col("ahead") + F.col("k") - 1)).drop("range", "k", "ahead")
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, thread, depth, n_quotes, n_linked, own_text. ``reply_to`` is null for a
-    message without linked quotes whose previous turn does not exist; thread and depth follow quotes only."""
+    """conv_id, turn, role, reply_to, thread (its first turn), depth (replies from there), position, n_quotes, n_linked, own_text."""
     scratch = Scratch(messages.sparkSession)
     parsed = scratch.table(passages(messages), "passages")
-    quoted = quotes(parsed)
-    joined = quoted.join(originals(parsed), ["conv_id", "a", "b"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
+    quoted = scratch.table(quotes(parsed), "quotes")
+    joined = quoted.join(originals(parsed, quoted), ["conv_id", "n", "h"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
     best = F.min(F.when(F.col("said").isNotNull(), F.struct("level", "pos", "said")))
-    mine = joined.groupBy("conv_id", "turn").agg(F.countDistinct("pos").alias("n_quotes"), F.countDistinct(F.when(F.col("said").isNotNull(), F.col("pos"))).alias("n_linked"), best["said"].alias("to"))
-    mine = scratch.table(mine, "quotes")
-    roots = threads(mine.where("to is not null"), scratch)
-    before = parsed.where("conv_id is not null and turn is not null").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous")).distinct()
-    out = parsed.join(mine, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
-    return out.select(
+    place = F.struct("pos", "n", "h")
+    mine = joined.groupBy("conv_id", "turn").agg(F.countDistinct(place).alias("n_quotes"), F.countDistinct(F.when(F.col("said").isNotNull(), place)).alias("n_linked"), best["said"].alias("to"))
+    turns = named(parsed).select("conv_id", "turn").distinct()
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
+    told = scratch.table(turns.join(mine, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce("to", "previous")).drop("to", "previous"), "replies")
+    roots = threads(told.where("reply_to is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("reply_to").cast("long").alias("reply_to")), scratch)
+    out = parsed.join(told, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
+    out = out.select(
         "conv_id",
         "turn",
         "role",
-        F.coalesce("to", "previous").alias("reply_to"),
+        "reply_to",
         F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("depth", F.lit(0)).alias("depth"),
+        F.coalesce("branch", F.array()).alias("branch"),
         F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         own_text(F.col("parts")).alias("own_text"),
     )
+    return _placed(out, scratch).select("conv_id", "turn", "role", "reply_to", "thread", "depth", "position", "n_quotes", "n_linked", "own_text")
 
 
 def conversations(linked: DataFrame) -> DataFrame:
     """The messages in reply order: a conversation is a run of rows, spread over as many partitions as it needs."""
-    return linked.repartitionByRange("conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
+    return linked.repartitionByRange("conv_id", "position").sortWithinPartitions("conv_id", "position")

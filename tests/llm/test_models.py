@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat_quotes, lm_score, quality_classifier
+from leafmill.llm import lm_score, quality_classifier
 
 from .odd import ROWS, frame, plain
 
@@ -51,31 +51,6 @@ def test_lm_counts_every_word_and_pair_apart(spark):
             assert max(q) <= 1 and loss == pytest.approx(-sum(map(math.log, q)) / len(q), abs=1e-9)
 
 
-def test_quotes(spark):
-    rows = [
-        (1, 0, "user", "Where is the red house?\n\nI need it."), (1, 1, "assistant", "On the hill."), (1, 2, "user", ">  On the   HILL.\nThanks."),
-        (1, 3, "user", "> > Where is the red house?\n> On the hill.\nSame here."), (1, 4, "user", ">unknown words\nHm."), (1, 5, "user", "> I need it.\r\n"),
-        (2, 0, "user", "> On the hill."), (2, 1, None, None), (None, 1, "user", "> x"), (3, None, "user", "a"), (4, 7, "user", ""), (2, 1, "user", "> On the hill."),
-    ]
-    said = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, thread int")
-    got = chat_quotes.link(said)
-    by = {(r.conv_id, r.turn): r for r in got.collect()}
-    assert got.count() == len(rows) + 0
-    assert [by[1, t].reply_to for t in range(6)] == [None, 0, 1, 1, 3, 0]
-    assert by[1, 3].n_quotes == 2 and by[1, 3].n_linked == 2 and by[1, 4].n_linked == 0 and by[1, 2].own_text == "Thanks." and by[1, 5].own_text == ""
-    assert (by[1, 2].thread, by[1, 2].depth, by[1, 5].thread) == (1, 1, 0) and by[2, 0].reply_to is None and by[4, 7].own_text == ""
-    order = [(r.conv_id, r.turn) for r in chat_quotes.conversations(got.where("conv_id = 1")).collect()]
-    assert order.index((1, 1)) < order.index((1, 2)) and len(order) == 6
-    assert chat_quotes.link(said.where("false")).count() == 0
-
-
-@pytest.mark.parametrize("mark", ["\u2028", "\u2029", "\u0085"])
-def test_quotes_keep_lines_with_unicode_line_ends(spark, mark):
-    rows = [(1, 0, "user", f"first{mark}second"), (1, 1, "user", "other"), (1, 2, "user", f"> first{mark}second\nYes{mark}no.")]
-    got = {r.turn: r for r in chat_quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got[0].own_text == f"first{mark}second" and got[2].own_text == f"Yes{mark}no." and (got[2].n_linked, got[2].reply_to) == (1, 0)
-
-
 def labelled(spark, n=400):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["water", "green", "stone", "river", "light", "house"]) for _ in range(40))
