@@ -42,13 +42,13 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes whole texts; ids are the library's own, whatever way a piece takes."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         path = vocabulary(name)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = special_as_text  # as the library has it, their strings give the tokens
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.folds = spec["normalizer"] is not None
@@ -103,14 +103,14 @@ class Encoder:
         return starts, ends, of
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str) -> Encoder:
+def encoder(name: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    if (name, special_as_text) not in _encoders:
+        _encoders[name, special_as_text] = Encoder(name, special_as_text)
+    return _encoders[name, special_as_text]
 
 
 def forget() -> None:

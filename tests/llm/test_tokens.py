@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,7 @@ from .odd import ROWS, frame, plain
 
 
 def library(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def crc(ids):
@@ -39,16 +38,65 @@ def test_store_holds_the_librarys_ids(spark, tmp_path):
     assert token_store.encode_and_read(frame(spark, []), path=f"file://{tmp_path}/none").count() == 0
 
 
-def test_perfect_hash():
+def index_of(keys, nulls=0):
+    ends = np.cumsum(np.full(len(keys) + nulls, 7))
+    return pa.BufferReader(token_store.index_bytes(np.sort(keys), nulls, ends, 2))
+
+
+def test_index_finds_every_key_and_no_other():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 5000))
-    h = token_store.PerfectHash.build(keys)
-    assert sorted(h.slots(keys)) == list(range(len(keys)))
-    other = np.random.default_rng(2).integers(-(2**62), 2**62, 5000)
-    slot = h.slots(other)
-    table = np.zeros(len(keys), np.uint32)
-    table[h.slots(keys)] = token_store.fingerprints(keys)
-    hit = slot >= 0
-    assert (table[slot[hit]] == token_store.fingerprints(other[hit])).sum() == 0
+    keys = np.concatenate([keys, keys[:50], [np.iinfo(np.int64).min]])
+    index = token_store.Index(index_of(keys, 3))
+    slots, _ = index.slots(np.unique(keys))
+    assert sorted(slots) == list(range(len(np.unique(keys))))
+    first, many = index.find(keys)
+    stored = np.sort(keys)
+    assert all(n == (stored == k).sum() and stored[f - 3] == k for k, f, n in zip(keys[::37], first[::37], many[::37], strict=True))
+    assert not index.find(np.random.default_rng(2).integers(-(2**62), 2**62, 5000))[1].any()
+    begin, end = index.bounds(first)
+    assert (begin == 7 * first).all() and (end == begin + 7).all()
+
+
+def test_a_lookup_reads_as_much_whatever_the_size():
+    read = {}
+    for size in (2_000, 200_000):
+        keys = np.random.default_rng(size).permutation(10 * size)[:size].astype(np.int64)
+        raw, found = index_of(keys), []
+        for k in keys[:200]:
+            index = token_store.Index(raw)
+            first, many = index.find(np.array([k]))
+            index.bounds(first)
+            assert many[0] == 1
+            found.append(index.bytes_read)
+        read[size] = np.mean(found), max(found)
+    assert read[200_000][0] < read[2_000][0] * 1.2 + token_store.PAGE and read[200_000][1] <= token_store.HEAD + 12 * token_store.PAGE
+
+
+def test_special_token_strings(spark, tmp_path):
+    tok = library("byte_bpe_50k.json")
+    rows = [(1, "start <|endoftext|> end"), (2, "a.b<|endoftext|>c  <|endoftext|>"), (3, "<|endoftext|"), (4, "<|startoftext|> x<|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.ids_crc32 for r in token_store.encode_and_read(docs, path=f"{tmp_path}/a").collect()}
+    assert got == {d: crc(tok.encode(t, add_special_tokens=False).ids + [0]) for d, t in rows}
+    words = library("word_bpe_49k.json")
+    whole = {r.doc_id: r.ids for r in packing.pack(docs, payload=True).collect()}
+    assert whole == {d: words.encode(t, add_special_tokens=False).ids + [1] for d, t in rows}
+    tok.encode_special_tokens = True
+    got = {r.doc_id: r.ids_crc32 for r in token_store.encode_and_read(docs, path=f"file:{tmp_path}/b", special_as_text=True).collect()}
+    assert got == {d: crc(tok.encode(t, add_special_tokens=False).ids + [0]) for d, t in rows}
+
+
+def test_keys_at_the_ends_of_shards(spark, tmp_path):
+    """A hot key over several shards, null keys, the smallest long, and keys between shards."""
+    low = -(2**63)
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(40)] + [(low, "low"), (low, "lower")] + [(100 + 3 * i, "x" * i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = token_store.encode_and_read(docs, path=f"{tmp_path}/c").collect()
+    tok = library("byte_bpe_50k.json")
+    assert plain((r.doc_id, r.ids_crc32) for r in got) == plain((d, crc(tok.encode(t, add_special_tokens=False).ids + [0])) for d, t in rows)
+    assert token_store.manifest(spark, f"{tmp_path}/c").count() > 1
+    some = token_store.lookup(spark.createDataFrame([(101,), (8,), (low,), (None,)], "doc_id long"), f"{tmp_path}/c").collect()
+    assert [r.doc_id for r in some if r.doc_id != low] == [None] * 40 and len(some) == 42
 
 
 @pytest.mark.parametrize("length", [64, 2048])
