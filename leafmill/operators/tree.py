@@ -11,45 +11,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cardinality
+from ..landing import land
 
 #: The keys that hold children.
 ROLES = ("elements", "items", "statements", "annotations", "inputVariables", "outputVariables", "inoutputVariables")
 COLLECTION, LIST, ENTITY = "SubmodelElementCollection", "SubmodelElementList", "Entity"
-LEVELS = 200
+#: Recursion steps, one a level of the trees. A document that is deeper is reported by ``too_deep``, not flattened.
+LEVELS = 400
 
-_CHILD = """transform(coalesce(from_json(get_json_object(node, '$.{role}'), 'array<string>'), array()),
-  (x, i) -> named_struct('role', '{role}', 'ord', i, 'place', {k} * 1000000 + i, 'name', get_json_object(x, '$.idShort'), 'node', x))"""
+_CHILD = """transform(coalesce(try_variant_get(v, '$.{role}', 'array<variant>'), array()),
+  (x, i) -> named_struct('role', '{role}', 'ord', i, 'place', named_struct('role', {k}, 'ord', i), 'name', try_variant_get(x, '$.idShort', 'string'), 'v', x))"""
+_TEMPLATE = """filter(array(named_struct('role', 'itemTemplate', 'ord', 0, 'place', named_struct('role', 99, 'ord', 0), 'name', CAST(NULL AS STRING), 'v', try_variant_get(v, '$.itemTemplate', 'variant'))), x -> x.v IS NOT NULL)"""
 
 _FLATTEN = """
-WITH RECURSIVE t(template, path, parent_path, parent_kind, role, ord, depth, sort, shown, walked, node) MAX RECURSION LEVEL {levels} AS (
-  SELECT template, '', CAST(NULL AS STRING), CAST(NULL AS STRING), 'root', 0, -1, CAST(array() AS ARRAY<INT>), true, true, doc FROM {{src}}
+WITH RECURSIVE t(template, path, parent_path, parent_kind, role, ord, depth, sort, shown, walked, v) MAX RECURSION LEVEL {levels} AS (
+  SELECT template, '', CAST(NULL AS STRING), CAST(NULL AS STRING), 'root', 0, -1, CAST(array() AS ARRAY<STRUCT<role: INT, ord: INT>>), true, true, try_parse_json(doc) FROM {{src}}
   UNION ALL
   SELECT template,
     CASE WHEN c.role = 'items' THEN concat(path, '[', c.ord, ']') WHEN c.role = 'itemTemplate' THEN concat(path, '[]')
       WHEN path = '' THEN coalesce(c.name, concat('[', c.ord, ']')) ELSE concat(path, '.', coalesce(c.name, concat('[', c.ord, ']'))) END,
     path, kind, c.role, c.ord, depth + 1, array_append(sort, c.place),
-    shown AND c.role = 'elements', walked AND c.role IN ('elements', 'items', 'itemTemplate'), c.node
-  FROM (SELECT *, get_json_object(node, '$.modelType') AS kind, explode(filter(concat({children}), x -> x.node IS NOT NULL)) AS c FROM t)
+    shown AND c.role = 'elements', walked AND c.role IN ('elements', 'items', 'itemTemplate'), c.v
+  FROM (SELECT *, try_variant_get(v, '$.modelType', 'string') AS kind, explode(filter(concat({children}), x -> x.v IS NOT NULL AND NOT is_variant_null(x.v))) AS c FROM t WHERE depth < {levels} - 3)
 )
 SELECT * FROM t WHERE depth >= 0
 """
 
 
-def _children() -> str:
-    each = [_CHILD.format(role=r, k=k) for k, r in enumerate(ROLES)]
-    template = "filter(array(named_struct('role', 'itemTemplate', 'ord', 0, 'place', 99000000, 'name', CAST(NULL AS STRING), 'node', get_json_object(node, '$.itemTemplate'))), x -> x.node IS NOT NULL)"
-    return ", ".join([*each, template])
-
-
 def flatten(templates: DataFrame, levels: int = LEVELS) -> DataFrame:
     """From (template, doc): template, path, parent_path, parent_kind, role, ord, depth, sort (pre-order key),
     shown (reached through collections only), walked (through collections and lists only), id_short,
-    model_type, own (the node's JSON without its children), node (with them). Null children are left out."""
-    spark = templates.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    model_type, own (the node's JSON without its children). Null children are left out, documents that are no JSON also.
+
+    A document is parsed once; its nodes are parts of the parsed value."""
+    children = ", ".join([*(_CHILD.format(role=r, k=k) for k, r in enumerate(ROLES)), _TEMPLATE])
     src = templates.select(F.col("template").cast("string").alias("template"), F.col("doc").cast("string").alias("doc"))
-    rows = spark.sql(_FLATTEN.format(levels=levels, children=_children()), src=src)
-    return rows.withColumn("id_short", field("idShort")).withColumn("model_type", field("modelType")).withColumn("own", own_fields())
+    scalar = lambda k: F.try_variant_get("v", f"$.{k}", "string")
+    fields = ("*", scalar("idShort").alias("id_short"), scalar("modelType").alias("model_type"), own_fields().alias("own"))
+    return recursive(src, _FLATTEN.format(levels=levels, children=children), fields).withColumn("node", F.col("own"))
+
+
+def recursive(src: DataFrame, query: str, fields: tuple[str | Column, ...]) -> DataFrame:
+    """The fields of the rows of a recursive query over ``{src}``, as many as there are; the session's own limit is set back."""
+    spark, name = src.sparkSession, "spark.sql.cteRecursionRowLimit"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        return land(spark.sql(query, src=src).select(*fields).drop("v"), "recursion")  # run here, under that limit, and once
+    finally:
+        spark.conf.set(name, held)
+
+
+def too_deep(nodes: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """template, error: documents that have nodes at the last level that ``flatten`` looks at."""
+    return nodes.where(F.col("depth") >= levels - 3).select("template", F.lit(f"ValueError: over {levels - 3} levels").alias("error")).distinct()
 
 
 def field(name: str, node: str = "node") -> Column:
@@ -57,9 +72,10 @@ def field(name: str, node: str = "node") -> Column:
     return F.get_json_object(node, f"$.{name}")
 
 
-def own_fields(node: str = "node") -> Column:
+def own_fields() -> Column:
+    """The JSON of a parsed node ``v`` without its children."""
     drop = ", ".join(f"'{r}'" for r in ROLES)
-    return F.expr(f"to_json(map_filter(cast(try_parse_json({node}) AS map<string, variant>), (k, v) -> NOT (k IN ({drop}) AND coalesce(json_array_length(to_json(v)), 0) > 0)))")
+    return F.expr(f"to_json(map_filter(try_cast(v AS map<string, variant>), (k, x) -> NOT (k IN ({drop}) AND coalesce(size(try_cast(x AS array<variant>)), 0) > 0)))")
 
 
 def stated_cardinality(node: str = "node") -> Column:

@@ -5,45 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_NAMED = """transform(map_entries(coalesce(from_json(get_json_object(node, '$.{role}'), 'map<string,string>'), map())),
-  (e, i) -> named_struct('role', '{role}', 'ord', i, 'name', e.key, 'node', e.value))"""
-_LISTED = """transform(coalesce(from_json(get_json_object(node, '$.{role}'), 'array<string>'), array()),
-  (x, i) -> named_struct('role', '{role}', 'ord', i, 'name', concat('[', i, ']'), 'node', x))"""
+from ..operators import tree
+
+#: Recursion steps, one a level of the forms.
+LEVELS = 400
+
+_NAMED = """transform(map_entries(coalesce(try_cast(try_variant_get(v, '$.{role}', 'variant') AS map<string, variant>), map())),
+  (e, i) -> named_struct('role', '{role}', 'ord', i, 'name', e.key, 'v', e.value))"""
+_LISTED = """transform(coalesce(try_variant_get(v, '$.{role}', 'array<variant>'), array()),
+  (x, i) -> named_struct('role', '{role}', 'ord', i, 'name', concat('[', i, ']'), 'v', x))"""
 _FLATTEN = """
-WITH RECURSIVE t(submission_id, template, path, parent_path, role, ord, depth, node) MAX RECURSION LEVEL {levels} AS (
-  SELECT submission_id, template, '', CAST(NULL AS STRING), 'root', 0, -1, coalesce(form, '') FROM {{src}}
+WITH RECURSIVE t(submission_id, template, path, parent_path, role, ord, depth, v) MAX RECURSION LEVEL {levels} AS (
+  SELECT submission_id, template, '', CAST(NULL AS STRING), 'root', 0, -1, try_parse_json(coalesce(form, '')) FROM {{src}}
   UNION ALL
-  SELECT submission_id, template, CASE WHEN c.role = 'items' OR path = '' THEN concat(path, c.name) WHEN c.role = 'annotations' THEN concat(path, '.', c.name) ELSE concat(path, '.', c.name) END,
-    path, c.role, c.ord, depth + 1, c.node
-  FROM (SELECT *, explode(concat({children})) AS c FROM t)
+  SELECT submission_id, template, CASE WHEN c.role = 'items' OR path = '' THEN concat(path, c.name) ELSE concat(path, '.', c.name) END,
+    path, c.role, c.ord, depth + 1, c.v
+  FROM (SELECT *, explode(concat({children})) AS c FROM t WHERE depth < {levels} - 3)
 )
 SELECT * FROM t
 """
 
 
-def flatten(submissions: DataFrame, levels: int = 200) -> DataFrame:
+def flatten(submissions: DataFrame, levels: int = LEVELS) -> DataFrame:
     """From (submission_id, template, form): one row a form node, the root (path '') included.
 
     ``present`` are the node's keys: a key that is there with null differs from one that is not. value_raw is text,
-    value_type its JSON type (BIGINT, DOUBLE or DECIMAL, STRING, BOOLEAN, ARRAY<..>, OBJECT<..>)."""
-    spark = submissions.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    value_type its JSON type (BIGINT, DOUBLE or DECIMAL, STRING, BOOLEAN, ARRAY<..>, OBJECT<..>). A form is parsed once; of
+    one deeper than the levels the nodes beyond are left out."""
     children = ", ".join([_NAMED.format(role="elements"), _NAMED.format(role="statements"), _LISTED.format(role="items"), _LISTED.format(role="annotations")])
     src = submissions.select("submission_id", F.col("template").cast("string").alias("template"), F.col("form").cast("string").alias("form"))
-    rows = spark.sql(_FLATTEN.format(levels=levels, children=children), src=src)
-    scalar = lambda name: F.get_json_object("node", f"$.{name}")
-    return rows.select(
-        "*",
-        F.coalesce(F.json_object_keys("node"), F.array().cast("array<string>")).alias("present"),
+    scalar = lambda name: F.try_variant_get("v", f"$.{name}", "string")
+    fields = (
+        "submission_id", "template", "path", "parent_path", "role", "ord", "depth",
+        F.expr("coalesce(map_keys(try_cast(v AS map<string, variant>)), array())").alias("present"),
         scalar("value").alias("value_raw"), json_type("value").alias("value_type"), scalar("min").alias("min_raw"), scalar("max").alias("max_raw"),
         json_type("min").alias("min_type"), json_type("max").alias("max_type"),
         scalar("contentType").alias("content_type"), scalar("globalAssetId").alias("global_asset_id"), scalar("first").alias("first"), scalar("second").alias("second"),
-        F.json_array_length(scalar("items")).alias("n_items"),
+        F.expr("size(try_variant_get(v, '$.items', 'array<variant>'))").alias("n_items"),
     )
+    return tree.recursive(src, _FLATTEN.format(levels=levels, children=children), fields)
 
 
 def json_type(name: str) -> Column:
-    return F.expr(f"schema_of_variant(variant_get(try_parse_json(node), '$.{name}'))")
+    return F.expr(f"schema_of_variant(try_variant_get(v, '$.{name}', 'variant'))")
 
 
 def language_entries(json: Column) -> Column:
