@@ -40,6 +40,14 @@ def bounds(value: Column | str, compat: bool = False) -> Column:
     return F.when(F.coalesce(v.rlike(BOUNDS), F.lit(False)), read).otherwise(one)
 
 
+def client_bounds(value: Column | str) -> Column:
+    """(required, many, min, max) as a form's client has them: four notations count, any other is 0 to no limit."""
+    v = F.coalesce(normalize(value), F.lit("[1]"))
+    need = v.isin("[1]", "[1..*]")
+    most = F.when(v.isin("[0..1]", "[1]"), 1)
+    return F.struct(need.alias("required"), (F.contains(v, F.lit("*")) | F.contains(v, F.lit(".."))).alias("many"), F.when(need, 1).otherwise(0).alias("min"), most.alias("max"))
+
+
 def from_qualifiers(qualifiers: Column | str) -> Column:
     """The first qualifier of a cardinality type with a non-blank value, normalised; else ``[1]``."""
     values = F.transform(F.filter(col(qualifiers), lambda q: q["type"].isin(*QUALIFIERS)), lambda q: normalize(q["value"]))

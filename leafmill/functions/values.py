@@ -78,16 +78,27 @@ def _as_text(raw: Column, json_type: Column | None) -> Column:
     return F.when(json_type == "BOOLEAN", F.when(F.lower(raw) == "true", "1").otherwise("0")).otherwise(raw)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, the value computed once: where it is pasted in several places, plans and their code grow with each."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def conforms(raw: Column | str, value_type: Column | str, json_type: Column | None = None, strict: bool = False) -> Column:
     """Whether a value, which is neither null nor empty, is of its type. Unknown, time and text types take all."""
     x, kind = col(raw), _kind(value_type, strict)
-    n = number(_as_text(x, json_type))
-    finite = ~F.isnan(n) & (F.abs(n) != float("inf"))
-    whole = finite & (F.floor(F.when(finite & (F.abs(n) < 9e15), n)).cast("double") == n) | (finite & (F.abs(n) >= 9e15))
-    if strict:
-        exact = n.try_cast("decimal(30,0)")
-        whole = whole & F.coalesce(exact >= xsd.lower_bound(value_type), F.lit(True)) & F.coalesce(exact <= xsd.upper_bound(value_type), F.lit(True))
-    out = F.when(kind == "int", whole).when(kind == "float", n.isNotNull()).when(kind == "bool", F.lower(x).isin(*TRUE, *FALSE))
+
+    def number_fits(s: Column) -> Column:
+        n = s["n"]
+        finite = ~F.isnan(n) & (F.abs(n) != float("inf"))
+        whole = finite & (F.floor(F.when(finite & (F.abs(n) < 9e15), n)).cast("double") == n) | (finite & (F.abs(n) >= 9e15))
+        if strict:
+            exact = n.try_cast("decimal(30,0)")
+            whole = whole & F.coalesce(exact >= s["low"], F.lit(True)) & F.coalesce(exact <= s["high"], F.lit(True))
+        return F.when(s["kind"] == "int", whole).otherwise(n.isNotNull())
+
+    bounds = {"low": xsd.lower_bound(value_type), "high": xsd.upper_bound(value_type)} if strict else {}
+    parsed = F.struct(number(_as_text(x, json_type)).alias("n"), kind.alias("kind"), *(v.alias(k) for k, v in bounds.items()))
+    out = F.when(kind.isin("int", "float"), _once(parsed, number_fits)).when(kind == "bool", F.lower(x).isin(*TRUE, *FALSE))
     out = out.when(kind == "datetime", timestamp(x).isNotNull()).when(kind == "date", date(x).isNotNull()).otherwise(F.lit(True))
     return F.when(col(value_type).isNull(), F.lit(True)).otherwise(F.coalesce(out, F.lit(False)))
 
@@ -96,19 +107,26 @@ def coerce(raw: Column | str, value_type: Column | str, json_type: Column | None
     """struct(kind, long, double, bool, date, timestamp, text, ok). Null and '' are null. ``int`` goes through double
     and truncates; a value that does not fit is kept in ``text`` with ok = false only for infinities of ``int``."""
     x, kind = F.nullif(col(raw), F.lit("")), _kind(value_type, strict)
-    n = number(_as_text(x, json_type))
-    inf = F.abs(n) == float("inf")
-    as_long = F.when((kind == "int") & ~F.isnan(n) & ~inf, n.try_cast("long"))
-    as_double = F.when(kind == "float", n)
-    as_bool = F.when((kind == "bool") & x.isNotNull(), F.lower(x).isin(*TRUE))
-    as_ts, as_date = F.when(kind == "datetime", timestamp(x)), F.when(kind == "date", date(x))
-    typed = F.coalesce(as_long.cast("string"), as_double.cast("string"), as_bool.cast("string"), as_ts.cast("string"), as_date.cast("string"))
-    bad = F.coalesce((kind == "int") & inf, F.lit(False))
-    fields = {"kind": kind, "long": as_long, "double": as_double, "bool": as_bool, "date": as_date, "timestamp": as_ts, "text": F.when(typed.isNull(), x), "ok": ~bad}
-    return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+    def made(s: Column) -> Column:
+        n, kind, x = s["n"], s["kind"], s["x"]
+        inf = F.abs(n) == float("inf")
+        as_long = F.when((kind == "int") & ~F.isnan(n) & ~inf, n.try_cast("long"))
+        as_double = F.when(kind == "float", n)
+        as_bool = F.when((kind == "bool") & x.isNotNull(), F.lower(x).isin(*TRUE))
+        none = as_long.isNull() & as_double.isNull() & as_bool.isNull() & s["timestamp"].isNull() & s["date"].isNull()
+        bad = F.coalesce((kind == "int") & inf, F.lit(False))
+        fields = {"kind": kind, "long": as_long, "double": as_double, "bool": as_bool, "date": s["date"], "timestamp": s["timestamp"], "text": F.when(none, x), "ok": ~bad}
+        return F.struct(*(c.alias(k) for k, c in fields.items()))
+
+    parsed = {"x": x, "kind": kind, "n": F.when(kind.isin("int", "float"), number(_as_text(x, json_type))), "timestamp": F.when(kind == "datetime", timestamp(x)), "date": F.when(kind == "date", date(x))}
+    return _once(F.struct(*(c.alias(k) for k, c in parsed.items())), made)
 
 
 def coerced_text(raw: Column | str, value_type: Column | str, json_type: Column | None = None, strict: bool = False) -> Column:
     """The coerced value in canonical text: what is written back to a tree."""
-    c = coerce(raw, value_type, json_type, strict)
-    return F.coalesce(c["long"].cast("string"), c["double"].cast("string"), c["bool"].cast("string"), F.date_format(c["date"], "yyyy-MM-dd"), F.date_format(c["timestamp"], "yyyy-MM-dd'T'HH:mm:ss"), c["text"])
+
+    def text(c: Column) -> Column:
+        return F.coalesce(c["long"].cast("string"), c["double"].cast("string"), c["bool"].cast("string"), F.date_format(c["date"], "yyyy-MM-dd"), F.date_format(c["timestamp"], "yyyy-MM-dd'T'HH:mm:ss"), c["text"])
+
+    return _once(coerce(raw, value_type, json_type, strict), text)

@@ -17,6 +17,8 @@ def land(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leafmill-"))
         at = spark.sparkContext.getCheckpointDir()
     path = f"{at.rstrip('/')}/leafmill-{name}-{uuid.uuid4().hex}"

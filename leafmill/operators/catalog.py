@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..landing import land
 
 
 def search(templates: DataFrame, term: str | None = None, number: str | None = None, name: str = "name", title: str = "title", number_col: str = "idta_number") -> DataFrame:
@@ -37,9 +40,11 @@ def ordered(templates: DataFrame) -> DataFrame:
     return templates.orderBy(*sort_key())
 
 
-def get(templates: DataFrame, name: str, column: str = "name") -> DataFrame:
-    """The first entry of exactly that name; no row if there is none."""
-    return templates.where(F.col(column) == name).limit(1)
+def get(templates: DataFrame, name: str, column: str = "name", order: list[Column] | None = None) -> DataFrame:
+    """The first entry of exactly that name, by ``order`` (the catalog's where it has its columns, else all columns); no row
+    if there is none."""
+    known = {"idta_number", "title", "name"} <= {*templates.columns}
+    return first_by(templates.where(F.col(column) == name), [column], order or ([*sort_key()] if known else [F.col(c) for c in templates.columns]))
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -58,6 +63,11 @@ def versions(entries: DataFrame, natural: bool = False) -> DataFrame:
     return entries.orderBy("template", *version_order(natural))
 
 
+def latest_version(entries: DataFrame) -> DataFrame:
+    """One row a template: its newest version, by text."""
+    return entries.groupBy("template").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "template"]), "version").alias("r")).select("template", "r.*")
+
+
 def latest_file(files: DataFrame, depth: int = 3) -> DataFrame:
     """One package a template from (template, directory, name, depth): shallowest directory first, of equals the last
     directory, then the last name; deeper than ``depth`` is not looked at."""
@@ -66,6 +76,13 @@ def latest_file(files: DataFrame, depth: int = 3) -> DataFrame:
     return near.join(shallow, ["template", "depth"]).groupBy("template").agg(F.max_by(F.struct("*"), F.struct("directory", "name")).alias("r")).select("r.*")
 
 
+def invalidate(cache: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The cache's entries without those asked for, and (key, existed) for each key that was asked for."""
+    held = cache.select(key).distinct().withColumn("existed", F.lit(True))
+    told = asked.select(key).distinct().join(held, key, "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+    return cache.join(asked.select(key), key, "left_anti"), told
+
+
 def is_fresh(at: str, now: Column, hours: float = 24) -> Column:
     """Younger than the time to live; an entry of exactly that age is not."""
     return F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp")) < int(hours * 3_600_000_000)
@@ -76,5 +93,13 @@ def fresh(entries: DataFrame, at: str, now: Column, hours: float = 24) -> DataFr
 
 
 def numbered(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """Adds ``idx``, 0-based, within ``by``."""
-    return df.withColumn("idx", (F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1).cast("long"))
+    """Adds ``idx``, 0-based, within ``by``. Rows are sorted in ranges of the whole order and counted there; a range adds the
+    numbers of the ranges before it, so neither a large group nor the whole table has to be one task."""
+    by = by or []
+    ranged = land(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "numbered")
+    local = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)))
+    sizes = ranged.groupBy("__range", *by).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("__range").alias("__r"), *(F.col(b).alias(f"__{b}") for b in by), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = reduce(lambda a, b: a & b, (F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by), F.col("__range") == F.col("__r"))
+    return local.join(sizes, same).select(*df.columns, (F.col("__before") + F.col("__k") - 1).cast("long").alias("idx"))

@@ -47,9 +47,21 @@ def lookup(requests: DataFrame, concepts: DataFrame, request: str = "semantic_id
     The suffix test is an equality join: concepts' ids are cut to the few lengths that requests have."""
     asked = requests.select(F.col(request).alias("request"), text.strip(request).alias("s")).where("coalesce(s, '') <> ''").distinct()
     cd = concepts.select(F.struct(*concepts.columns).alias("cd"))
-    lengths = asked.select(F.char_length("s").alias("n")).distinct()
-    tails = cd.join(F.broadcast(lengths.groupBy().agg(F.sort_array(F.collect_set("n")).alias("ns"))), how="left")
+    lengths = asked.agg(F.sort_array(F.collect_set(F.char_length("s"))).alias("ns"))
+    tails = cd.select("cd", lengths.scalar().alias("ns"))
     tails = tails.select("cd", F.explode(F.array_distinct(F.transform(F.filter("ns", lambda n: n <= F.char_length(F.col("cd.id"))), lambda n: F.right(F.col("cd.id"), n)))).alias("s"))
     named = cd.select("cd", F.col("cd.id_short").alias("s"))
     found = asked.join(tails.unionByName(named), "s")
     return found.groupBy("request").agg(F.min_by("cd", "cd.cd_ord").alias("cd"))
+
+
+def record(requests: DataFrame, concepts: DataFrame, request: str = "semantic_id") -> DataFrame:
+    """(request, found, record): the concept of each request as JSON, with its language maps; no concept, no record."""
+    held = lookup(requests, concepts, request)
+    maps = {"description": "description", "displayName": "display_name", "preferredName": "preferred_name", "shortName": "short_name", "definition": "definition"}
+    plain = {"id": "id", "idShort": "id_short", "unit": "unit"}
+    cd = {f.name for f in concepts.schema.fields}
+    spoken = lambda c: F.when(F.size(c) > 0, F.map_from_entries(F.filter(c, lambda e: e["text"].isNotNull())))
+    fields = [F.col(f"cd.{v}").alias(k) for k, v in plain.items() if v in cd] + [spoken(F.col(f"cd.{v}")).alias(k) for k, v in maps.items() if v in cd]
+    out = requests.select(F.col(request).alias("request")).distinct().join(held, "request", "left")
+    return out.select("request", F.col("cd").isNotNull().alias("found"), F.when(F.col("cd").isNotNull(), F.to_json(F.struct(*fields))).alias("record"))

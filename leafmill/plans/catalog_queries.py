@@ -31,11 +31,11 @@ def catalog_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, p_type, idx FROM (SELECT p_partkey, p_type,
-  row_number() OVER (PARTITION BY p_type ORDER BY coalesce(nullif(CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END, ''), '99999'), p_name, p_partkey) - 1 AS idx FROM part) WHERE idx < 20""")
+  row_number() OVER (PARTITION BY p_type ORDER BY coalesce(nullif(CASE WHEN p_size % 5 = 0 THEN '' ELSE p_brand END, ''), '99999'), p_name, p_partkey) - 1 AS idx FROM part)""")
 def catalog_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("number", F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_brand")))
     order = catalog.sort_key("number", "p_name", "p_name")[:2]
-    return catalog.numbered(part, [*order, F.col("p_partkey")], ["p_type"]).where("idx < 20").select("p_partkey", "p_type", "idx")
+    return catalog.numbered(part, [*order, F.col("p_partkey")], ["p_type"]).select("p_partkey", "p_type", "idx")
 
 
 _NAMES = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN concat('IDTA ', lpad(CAST(p_partkey AS VARCHAR), 5, '0'), '-1-0_Submodel_', p_name) WHEN 2 THEN concat('A_B_', p_name, '_', p_brand) ELSE concat('IDTA ', p_size, '-2_', p_name) END AS name FROM part"
@@ -53,8 +53,8 @@ def name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_type, max(p_brand) AS version FROM part GROUP BY p_type")
 def version_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_type", F.col("p_brand").alias("version"))
-    return part.groupBy("p_type").agg(F.max("version").alias("version"))
+    part = table(spark, sf_dir, "part").select(F.col("p_type").alias("template"), F.col("p_brand").alias("version"))
+    return catalog.latest_version(part).select(F.col("template").alias("p_type"), "version")
 
 
 @query("""SELECT template, version, row_number() OVER (PARTITION BY template ORDER BY version DESC) - 1 AS place_text,
@@ -94,16 +94,16 @@ def url_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def ttl_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))  # one row
-    return catalog.fresh(events.join(F.broadcast(now)), "ts", F.col("now").cast("timestamp")).select("event_id")
+    now = events.agg(F.max("ts")).scalar().cast("timestamp")
+    return catalog.fresh(events, "ts", now).select("event_id")
 
 
 @query("SELECT count(*) FILTER (WHERE ts > m - INTERVAL 24 HOUR) AS hits, count(*) FILTER (WHERE ts <= m - INTERVAL 24 HOUR) AS cleared FROM events, (SELECT max(ts) AS m FROM events)")
 def cache_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))  # one row
-    fresh = catalog.is_fresh("ts", F.col("now").cast("timestamp"))
-    return events.join(F.broadcast(now)).agg(F.count_if(fresh).alias("hits"), F.count_if(~fresh).alias("cleared"))
+    now = events.agg(F.max("ts")).scalar().cast("timestamp")
+    fresh = events.select(catalog.is_fresh("ts", now).alias("fresh"))
+    return fresh.agg(F.count_if("fresh").alias("hits"), F.count_if(~F.col("fresh")).alias("cleared"))
 
 
 @query("SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN concat('published/', r_name) ELSE r_name END AS path, r_name AS name, concat('/', replace(url_encode(CASE WHEN r_regionkey % 2 = 0 THEN concat('published/', r_name) ELSE r_name END), '%2F', '/')) AS url, r_name AS title FROM region WHERE r_regionkey <> 3")
@@ -114,3 +114,16 @@ def directory_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when((F.col("r_regionkey") % 2 == 1) & (F.col("r_regionkey") != 3), "directory")
     items = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), kind.alias("type"), content.alias("contentType"), path.alias("path"), none.alias("html_url"), none.alias("sha"))
     return catalog.listing(items).select("path", "name", "url", "title")
+
+
+@query("SELECT p_partkey, p_partkey % 3 <> 0 AS existed FROM part WHERE p_partkey % 5 = 0")
+def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth part is asked to go from a cache that lacks every third."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    return catalog.invalidate(part.where("p_partkey % 3 <> 0"), part.where("p_partkey % 5 = 0"), "p_partkey")[1]
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0")
+def cache_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    return catalog.invalidate(part.where("p_partkey % 3 <> 0"), part.where("p_partkey % 5 = 0"), "p_partkey")[0].agg(F.count(F.lit(1)).alias("n"))

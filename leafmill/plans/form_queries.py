@@ -27,8 +27,12 @@ TEMPLATE = {
 }
 
 
+def _flat(spark: SparkSession, name: str, template: dict) -> DataFrame:
+    return tree.flatten(spark.createDataFrame([(name, json.dumps(template))], "template string, doc string"))
+
+
 def _nodes(spark: SparkSession) -> DataFrame:
-    return tree.flatten(spark.createDataFrame([("customer", json.dumps(TEMPLATE))], "template string, doc string"))
+    return _flat(spark, "customer", TEMPLATE)
 
 
 def _value(name: str, x: Column) -> Column:
@@ -105,11 +109,15 @@ def hydrate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("submission_id", read("$.elements[0].value").alias("name"), n.alias("n_orders"), F.coalesce(read("$.elements[6].items[0].elements[1].value"), F.lit("0")).alias("priority"))
 
 
-@query("SELECT o_orderkey, 'Required field is missing' AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT o_orderkey, 'Required field ''Lines'' is missing' AS message FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def v_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required children that are absent: an anti join."""
-    gone = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
-    return gone.select("o_orderkey", F.lit("Required field is missing").alias("message"))
+    """Orders as forms of one required list, absent where the order has no lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    both = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    form = F.when(F.col("n").isNull(), '{"elements":{}}').otherwise('{"elements":{"Lines":{"items":[{}]}}}')
+    subs = both.select(F.col("o_orderkey").cast("string").alias("submission_id"), F.lit("order").alias("template"), form.alias("form"))
+    nodes = _flat(spark, "order", {"elements": [{"idShort": "Lines", "modelType": "SubmodelElementList", "cardinality": "[1..*]"}]})
+    return validate.run(nodes, forms.flatten(subs)).where("code = 'required'").select(F.col("submission_id").cast("long").alias("o_orderkey"), "message")
 
 
 @query("SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) > 5 THEN 'max_items' ELSE 'min_items' END AS code FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5 OR count(*) < 2")
@@ -142,10 +150,14 @@ def v_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN source ELSE CAST(quality AS VARCHAR) END AS value, l.doc_id IS NULL AS kept FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
 def hydrate_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag of presence decides, not the value: what is absent keeps the old value."""
-    new = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("quality")).withColumn("present", F.lit(True))
-    out = table(spark, sf_dir, "documents").select("doc_id", "source").join(new, "doc_id", "left")
-    there = F.coalesce("present", F.lit(False))
-    return out.select("doc_id", F.when(there, F.col("quality")).otherwise(F.col("source")).alias("value"), (~there).alias("kept"))
+    new = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("quality"))
+    both = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("template"), "doc_id", "source").join(new, "doc_id", "left")
+    doc = F.concat(F.lit('{"elements":[{"idShort":"V","modelType":"Property","valueType":"xs:string","value":'), _text(F.col("source")), F.lit("}]}"))
+    form = F.when(F.col("quality").isNull(), '{"elements":{}}').otherwise(F.concat(F.lit('{"elements":{'), _value("V", _text(F.col("quality"))), F.lit("}}")))
+    nodes = tree.flatten(both.select("template", doc.alias("doc")))
+    subs = both.select(F.col("template").alias("submission_id"), "template", form.alias("form"))
+    merged = hydrate.merge(subs, nodes, forms.flatten(subs))
+    return merged.select(F.col("submission_id").cast("long").alias("doc_id"), "value", (F.col("value") == tree.field("value")).alias("kept"))
 
 
 @query("""WITH t AS (SELECT source, lang, min(doc_id) AS a, max(doc_id) AS b FROM documents GROUP BY ALL),
@@ -183,3 +195,63 @@ def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(form < 2, "Property").when(form == 2, "File").otherwise("Capability")
     made = hydrate.prototype(kind, F.when(form == 0, "xs:int"))
     return table(spark, sf_dir, "part").select("p_partkey", F.get_json_object(made, "$.valueType").alias("value_type"), F.get_json_object(made, "$.contentType").alias("content_type"), made.isNotNull().alias("made"))
+
+
+#: One required element of each kind whose rules the customers' template has not.
+KINDS = {
+    "elements": [
+        {"idShort": "Limit", "modelType": "Range", "valueType": "xs:int", "cardinality": "[1]", "min": "1", "max": "9"},
+        {"idShort": "Manual", "modelType": "File", "cardinality": "[1]", "contentType": "application/pdf", "value": "/old.pdf"},
+        {"idShort": "Raw", "modelType": "Blob", "cardinality": "[0..1]", "contentType": "text/plain", "value": "old"},
+        {"idShort": "Site", "modelType": "ReferenceElement", "cardinality": "[1]", "value": "http://old"},
+        {"idShort": "Owner", "modelType": "Entity", "cardinality": "[0..1]", "globalAssetId": "urn:old", "statements": [{"idShort": "State", "modelType": "Property", "valueType": "xs:string", "cardinality": "[0..1]", "value": "on"}]},
+        {"idShort": "Link", "modelType": "RelationshipElement", "cardinality": "[1]", "first": "urn:1", "second": "urn:2"},
+        {"idShort": "Noted", "modelType": "AnnotatedRelationshipElement", "cardinality": "[0..1]", "first": "urn:1", "second": "urn:2", "annotations": [{"idShort": "Why", "modelType": "Property", "valueType": "xs:string", "value": "because"}]},
+    ]
+}
+
+
+def kind_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as forms of these kinds: by the size, bounds, paths, references and sides are missing, empty or new."""
+    k = F.col("p_size")
+    limit = F.when(k % 3 == 0, '"Limit":{"min":"2"}').when(k % 3 == 1, '"Limit":{"min":"2","max":""}').otherwise('"Limit":{"min":"2","max":"3"}')
+    manual = F.when(k % 4 == 0, '"Manual":{"value":""}').when(k % 4 == 1, '"Manual":{"contentType":"a/b"}').otherwise('"Manual":{"value":"/new.pdf"}')
+    raw = F.when(k % 2 == 0, '"Raw":{"value":"","contentType":"c/d"}').otherwise('"Raw":{"value":"new"}')
+    site = F.when(k % 5 == 0, '"Site":{"value":null}').otherwise('"Site":{"value":"https://new"}')
+    owner = F.when(k % 6 == 0, '"Owner":{"statements":{"State":{"value":"off"}}}').otherwise('"Owner":{"globalAssetId":"urn:new"}')
+    link = F.when(k % 7 == 0, '"Link":{"first":"urn:9","second":""}').otherwise('"Link":{"first":"urn:9","second":"urn:8"}')
+    noted = F.when(k % 8 == 0, '"Noted":{"annotations":[{"value":"so"},{"value":"surplus"}]}').otherwise('"Noted":{"second":"urn:7"}')
+    form = F.concat(F.lit('{"elements":{'), F.concat_ws(",", limit, manual, raw, site, owner, link, noted), F.lit("}}"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("submission_id"), F.lit("kinds").alias("template"), form.alias("form"))
+
+
+@query("""SELECT p_partkey, f.field, 'required_value' AS code FROM part, (VALUES ('Limit', 3), ('Manual', 4), ('Site', 5), ('Link', 7)) AS f(field, m)
+  WHERE CASE field WHEN 'Limit' THEN p_size % 3 < 2 WHEN 'Manual' THEN p_size % 4 < 2 ELSE p_size % m = 0 END""")
+def validate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges, files, references and relations that are required and lack a part."""
+    found = validate.run(_flat(spark, "kinds", KINDS), forms.flatten(kind_submissions(spark, sf_dir)))
+    return found.select(F.col("submission_id").cast("long").alias("p_partkey"), "field", "code")
+
+
+@query("""SELECT p_partkey, u.path, CASE u.path WHEN 'Manual' THEN CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 4 = 1 THEN '/old.pdf' ELSE '/new.pdf' END WHEN 'Raw' THEN CASE WHEN p_size % 2 = 0 THEN 'old' ELSE 'new' END
+    WHEN 'Site' THEN CASE WHEN p_size % 5 = 0 THEN 'http://old' ELSE 'https://new' END WHEN 'Owner.State' THEN CASE WHEN p_size % 6 = 0 THEN 'off' ELSE 'on' END WHEN 'Noted.Why' THEN CASE WHEN p_size % 8 = 0 THEN 'so' ELSE 'because' END END AS value,
+  CASE u.path WHEN 'Manual' THEN CASE WHEN p_size % 4 = 1 THEN 'a/b' ELSE 'application/pdf' END WHEN 'Raw' THEN CASE WHEN p_size % 2 = 0 THEN 'c/d' ELSE 'text/plain' END END AS content_type,
+  CASE WHEN u.path = 'Owner' THEN CASE WHEN p_size % 6 = 0 THEN 'urn:old' ELSE 'urn:new' END END AS asset, CASE u.path WHEN 'Link' THEN 'urn:9' WHEN 'Noted' THEN 'urn:1' END AS one,
+  CASE u.path WHEN 'Link' THEN CASE WHEN p_size % 7 = 0 THEN 'urn:2' ELSE 'urn:8' END WHEN 'Noted' THEN CASE WHEN p_size % 8 = 0 THEN 'urn:2' ELSE 'urn:7' END END AS two
+  FROM part, (VALUES ('Limit'), ('Manual'), ('Raw'), ('Site'), ('Owner'), ('Owner.State'), ('Link'), ('Noted'), ('Noted.Why')) AS u(path)""")
+def hydrate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind takes from a form and what it keeps; annotations are matched by place, surplus ones are left."""
+    subs = kind_submissions(spark, sf_dir)
+    merged = hydrate.merge(subs, _flat(spark, "kinds", KINDS), forms.flatten(subs))
+    return merged.select(F.col("submission_id").cast("long").alias("p_partkey"), "path", "value", "content_type", F.col("global_asset_id").alias("asset"), F.col("first").alias("one"), F.col("second").alias("two"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'first item' WHEN 1 THEN 'prototype' END AS origin, CASE p_size % 3 WHEN 0 THEN p_brand END AS value, CASE p_size % 3 WHEN 1 THEN 'xs:int' END AS value_type FROM part WHERE p_size % 3 < 2""")
+def item_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What new items of a list are made from: the first item, else a typed prototype, else nothing."""
+    k = F.col("p_size") % 3
+    item = F.concat(F.lit('{"modelType":"Property","value":'), _text(F.col("p_brand")), F.lit("}"))
+    own = F.when(k == 0, F.concat(F.lit('"items":['), item, F.lit("]"))).when(k == 1, '"typeValueListElement":"Property","valueTypeListElement":"xs:int","items":[]').otherwise('"items":[]')
+    doc = F.concat(F.lit('{"elements":[{"idShort":"L","modelType":"SubmodelElementList",'), own, F.lit("}]}"))
+    made = hydrate.item_templates(tree.flatten(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("template"), doc.alias("doc"))))
+    return made.select(F.col("template").cast("long").alias("p_partkey"), "origin", tree.field("value").alias("value"), tree.field("valueType").alias("value_type"))

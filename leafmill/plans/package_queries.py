@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..landing import land
 from ..operators import tree
 from ..sinks import packages as sink
 from ..sinks import report
@@ -18,7 +19,7 @@ def package_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's document as a package, unzipped, decoded and flattened: the nodes are those of the document."""
     docs = customer_templates(spark, sf_dir)
     files = docs.select(F.col("template").alias("package"), sink.package("doc", "template").alias("content"))
-    found = source.objects(source.parts(files)).where("kind = 'submodel'")
+    found = source.objects(land(source.parts(files), "parts")).where("kind = 'submodel'")
     nodes = tree.flatten(found.select(F.col("package").alias("template"), "doc"))
     return nodes.select("template", "path", "parent_path", "role", F.col("depth").cast("long").alias("depth"), "model_type", tree.field("value").alias("value"))
 
@@ -47,3 +48,46 @@ def package_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("package"), content.alias("content"))
     bad = source.parts(files).where("error is not null")
     return bad.select(F.col("package").cast("long").alias("c_custkey"), F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
+
+
+def _xml_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(package, content): for each customer an XML part with an operation, a blob and a file, a concept, and the file."""
+    name = F.replace(F.replace("c_name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    prop = lambda id_: f"<property><idShort>{id_}</idShort><valueType>xs:string</valueType><value>"
+    text = F.concat(
+        F.lit('<environment xmlns="https://admin-shell.io/aas/3/0"><submodels><submodel><id>urn:s</id><idShort>S</idShort><submodelElements><operation><idShort>Op</idShort><inputVariables><operationVariable><value>' + prop("In")), name,
+        F.lit("</value></property></value></operationVariable></inputVariables><outputVariables><operationVariable><value>" + prop("Out")), "c_mktsegment",
+        F.lit("</value></property></value></operationVariable></outputVariables></operation><blob><idShort>Raw</idShort><value>"), F.base64(F.encode("c_name", "UTF-8")),
+        F.lit("</value><contentType>text/plain</contentType></blob><file><idShort>Doc</idShort><value>../files/a.txt</value></file></submodelElements></submodel></submodels><conceptDescriptions><conceptDescription><id>urn:"), "c_mktsegment",
+        F.lit("</id><idShort>C</idShort></conceptDescription></conceptDescriptions></environment>"),
+    )
+    files = F.array(F.struct(F.lit("aasx/data.xml").alias("filename"), F.encode(text, "UTF-8").alias("content")), F.struct(F.lit("files/a.txt").alias("filename"), F.encode("c_name", "UTF-8").alias("content")))
+    each = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("batch"), F.explode(files).alias("f")).select("batch", "f.*")
+    return sink.archive(each).select(F.col("batch").alias("package"), F.col("archive").alias("content"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS template, u.path, CASE u.path WHEN 'Op.In' THEN c_name WHEN 'Op.Out' THEN c_mktsegment WHEN 'Raw' THEN c_name WHEN 'Doc' THEN '/files/a.txt' END AS value FROM customer, (VALUES ('Op'), ('Op.In'), ('Op.Out'), ('Raw'), ('Doc')) AS u(path)""")
+def package_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations, blobs and files out of XML packages, files by the names of the parts they stand for."""
+    parts = land(source.parts(_xml_packages(spark, sf_dir)), "parts")
+    nodes = tree.flatten(source.objects(parts).where("kind = 'submodel'").select(F.col("package").alias("template"), "doc"))
+    stored = source.supplementary(nodes.withColumn("base", F.lit("/aasx/data.xml")), parts).select(F.col("package").alias("template"), "path", "stored")
+    return nodes.join(stored, ["template", "path"], "left").select("template", "path", F.coalesce("stored", tree.field("value")).alias("value"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS package, 'submodel' AS kind, 'urn:s' AS id, c_name AS held FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'concept', concat('urn:', c_mktsegment), NULL FROM customer
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'part', '/files/a.txt', c_name FROM customer""")
+def package_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole packages read, written and read again: submodels, concepts and files are all there."""
+    parts = land(source.parts(_xml_packages(spark, sf_dir)), "parts")
+    again = land(source.parts(sink.packages(source.objects(parts), parts)), "parts")
+    objects = source.objects(again).select("package", "kind", "id", F.get_json_object("doc", "$.elements[1].value").alias("held"))
+    return objects.union(again.where("part = '/files/a.txt'").select("package", F.lit("part"), "part", F.decode("content", "UTF-8")))
+
+
+@query("SELECT c_custkey, c_custkey % 3 < 2 AS ok, CASE WHEN c_custkey % 3 = 2 THEN 'unknown format' END AS error FROM customer")
+def export_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dry run of the export: all is made, nothing is kept."""
+    form = F.when(F.col("template").cast("long") % 3 == 0, "aasx").when(F.col("template").cast("long") % 3 == 1, "json").otherwise("pdf")
+    done = sink.verify(customer_templates(spark, sf_dir).select("template", "doc", F.col("template").alias("name"), form.alias("format")))
+    return done.select(F.col("template").cast("long").alias("c_custkey"), "ok", "error")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import language, text
-from ..operators import dictionary
+from ..operators import dictionary, hydrate
 from .registry import query, table
 
 
@@ -93,4 +93,14 @@ def language_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'Property' WHEN 'error' THEN 'BasicEventElement' WHEN 'view' THEN 'File' ELSE 'Capability' END AS model_type, count(*) AS n FROM events GROUP BY event_type")
 def kind_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "purchase", "Property").when(F.col("event_type") == "error", "BasicEventElement").when(F.col("event_type") == "view", "File").otherwise("Capability")
-    return table(spark, sf_dir, "events").groupBy("event_type", kind.alias("model_type")).agg(F.count(F.lit(1)).alias("n"))
+    made = F.get_json_object(hydrate.prototype(kind, F.lit("xs:string")), "$.modelType")  # null for kinds that cannot be made
+    return table(spark, sf_dir, "events").groupBy("event_type", F.coalesce(made, kind).alias("model_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT request, found, label FROM (SELECT DISTINCT p_type AS request, p_type <> 'PROMO' AS found, CASE WHEN p_type <> 'PROMO' THEN concat('fr ', p_type) END AS label FROM part
+  UNION ALL SELECT DISTINCT concat(' urn:', p_brand), true, concat('fr ', p_brand) FROM part UNION ALL SELECT 'none of them', false, NULL)""")
+def concept_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts asked for by id, end of id, or short id, as JSON records."""
+    part = table(spark, sf_dir, "part")
+    asked = part.select(F.col("p_type").alias("semantic_id")).union(part.select(F.concat(F.lit(" urn:"), "p_brand"))).union(spark.createDataFrame([("none of them",)], "s string"))
+    return dictionary.record(asked, _concepts(spark, sf_dir)).select("request", "found", F.get_json_object("record", "$.preferredName.fr").alias("label"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cardinality, references, text, values, xsd
+from ..functions import cardinality, lists, references, text, values, xsd
+from ..operators import tree
 from ..operators import validate
 from .registry import query, table
 
@@ -80,11 +81,14 @@ def coerce_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _XSD_NAMES = [f"xs:{k}" for k in xsd.INPUT] + ["xs:unknown"]
-_XSD_SQL = ", ".join("({}, {}, {}, {}, {})".format(*(f"'{v}'" if isinstance(v, str) else "NULL" if v is None else v for v in r)) for r in xsd.rows())
-
-
-@query(f"""WITH x(xsd, input_type, step, lo, hi) AS (VALUES {_XSD_SQL}), n AS (SELECT p_partkey, ([{", ".join(f"'{n}'" for n in _XSD_NAMES)}])[p_partkey % 44 + 1] AS t FROM part)
-  SELECT p_partkey, coalesce(input_type, 'text') AS input_type, step, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM n LEFT JOIN x ON n.t = x.xsd""")
+# By the names' own words and the sizes of the machine types, not from the library's table.
+@query(f"""WITH n AS (SELECT p_partkey, replace(([{", ".join(f"'{n}'" for n in _XSD_NAMES)}])[p_partkey % 44 + 1], 'xs:', '') AS t FROM part),
+  k AS (SELECT *, starts_with(t, 'unsigned') AS u, CASE lower(replace(t, 'unsigned', '')) WHEN 'byte' THEN 8 WHEN 'short' THEN 16 WHEN 'int' THEN 32 WHEN 'long' THEN 64 END AS bits FROM n),
+  m AS (SELECT *, bits IS NOT NULL OR contains(lower(t), 'integer') AS whole, t IN ('decimal', 'float', 'double') AS part FROM k)
+  SELECT p_partkey, CASE WHEN whole OR part OR t IN ('gYear', 'gMonth', 'gDay') THEN 'number' ELSE coalesce(CASE t WHEN 'boolean' THEN 'checkbox' WHEN 'dateTime' THEN 'datetime-local' WHEN 'gYearMonth' THEN 'month' WHEN 'anyURI' THEN 'url'
+    WHEN 'base64Binary' THEN 'file' WHEN 'date' THEN 'date' WHEN 'time' THEN 'time' END, 'text') END AS input_type, CASE WHEN whole THEN '1' WHEN part THEN 'any' END AS step,
+  CAST(CASE WHEN bits < 64 THEN CASE WHEN u THEN 0 ELSE -(2 ** (bits - 1)) END WHEN t = 'nonNegativeInteger' THEN 0 WHEN t = 'positiveInteger' THEN 1 END AS BIGINT) AS lo,
+  CAST(CASE WHEN bits < 64 THEN 2 ** (bits - CASE WHEN u THEN 0 ELSE 1 END) - 1 WHEN t = 'negativeInteger' THEN -1 WHEN t = 'nonPositiveInteger' THEN 0 END AS BIGINT) AS hi FROM m""")
 def xsd_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.array(*map(F.lit, _XSD_NAMES)), (F.col("p_partkey") % len(_XSD_NAMES) + 1).cast("int"))
     typed = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" "), F.replace(names, F.lit("xs:"), F.lit("xsd:"))).alias("value_type"))
@@ -136,7 +140,7 @@ def uri_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", tree.field("k", "props").alias("k"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '') AS title FROM pages")
@@ -159,3 +163,31 @@ def embedded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     uploads = table(spark, sf_dir, "documents").withColumn("filename", F.concat("source", F.when(F.col("doc_id") % 3 == 0, ".AASX").otherwise(".aasx")))
     return validate.gate_uploads(uploads, "filename", F.col("n_chars"), 5000).select("doc_id", "filename", "success", "error")
+
+
+@query("""SELECT p_partkey, p_size % 6 IN (1, 2) AS required, p_size % 6 IN (0, 2, 3, 4) AS many, CASE WHEN p_size % 6 IN (1, 2) THEN 1 ELSE 0 END AS least, CASE WHEN p_size % 6 IN (0, 1) THEN 1 END AS most FROM part""")
+def client_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a form's client reads cardinalities: other notations than four are 0 to no limit."""
+    raw = F.element_at(F.array(*map(F.lit, ("[0..1]", "One", "OneToMany", "0..*", "[2..5]", "odd"))), (F.col("p_size") % 6 + 1).cast("int"))
+    b = cardinality.client_bounds(raw)
+    return table(spark, sf_dir, "part").select("p_partkey", b["required"].alias("required"), b["many"].alias("many"), b["min"].alias("least"), b["max"].alias("most"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN '1' WHEN p_size % 3 = 2 THEN 'any' END AS step, CASE p_size % 3 WHEN 0 THEN -128 WHEN 1 THEN 0 END AS lo FROM part WHERE p_size % 4 > 0
+  UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_size % 4 = 0""")
+def input_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step and bounds, for number inputs only."""
+    number = F.element_at(F.array(*map(F.lit, ("xs:byte", "xsd:nonNegativeInteger", "xs:double"))), (F.col("p_size") % 3 + 1).cast("int"))
+    a = xsd.input_attributes(F.when(F.col("p_size") % 4 == 0, "xs:string").otherwise(number))
+    return table(spark, sf_dir, "part").select("p_partkey", a["step"].alias("step"), a["min"].cast("int").alias("lo"))
+
+
+@query("""WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS l, max(conv_id % 4) AS k FROM conversations GROUP BY conv_id)
+  SELECT conv_id, array_to_string(CASE WHEN len(l) < 6 THEN list_append(l, -1) ELSE l END, ',') AS added, array_to_string(CASE WHEN len(l) > 2 AND k < len(l) THEN list_concat(l[1:k], l[k + 2:]) ELSE l END, ',') AS removed,
+  array_to_string(CASE WHEN k < len(l) THEN list_concat([l[k + 1]], list_concat(l[1:k], l[k + 2:])) ELSE l END, ',') AS moved FROM t""")
+def list_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation's turns as a form's list of 2 to 6 items: one more, one less, one moved to the front."""
+    of = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.col("turn").cast("long"))).alias("l"))
+    items, at = F.col("l"), (F.col("conv_id") % 4).cast("int")
+    edits = {"added": lists.added(items, F.lit(-1).cast("long"), F.lit(6)), "removed": lists.removed(items, at, F.lit(2)), "moved": lists.moved(items, at, F.lit(0))}
+    return of.select("conv_id", *(F.array_join(v.cast("array<string>"), ",").alias(k) for k, v in edits.items()))

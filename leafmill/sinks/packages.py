@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import json
 import zipfile
@@ -15,25 +16,27 @@ _TYPES = '<?xml version="1.0" encoding="utf-8"?><Types xmlns="http://schemas.ope
 _RELS = '<?xml version="1.0" encoding="utf-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://admin-shell.io/aasx/relationships/{kind}" Target="{target}"/></Relationships>'
 
 
-def _reference(value, keys=None) -> dict | None:
+def _reference(value, keys=None, kind=None) -> dict | None:
     keys = keys or ([{"type": "GlobalReference", "value": value}] if value else None)
-    return {"type": "ExternalReference", "keys": keys} if keys else None
+    return {"type": kind or "ExternalReference", "keys": keys} if keys else None
 
 
 def element(n: dict) -> dict:
     """A node as an element of the exchange format."""
     kind, out = n.get("modelType"), dict(n)
-    for k in ("semanticKeys", "semanticRefKind", "semanticLabel", "cardinality", "unit", "keys", "itemTemplate"):
+    for k in ("semanticKeys", "semanticRefKind", "semanticLabel", "cardinality", "unit", "keys", "itemTemplate", "encoding"):
         out.pop(k, None)
     spoken = lambda m: [{"language": k, "text": v} for k, v in m.items()]
     if "semanticId" in n:
-        out["semanticId"] = _reference(n["semanticId"], n.get("semanticKeys"))
+        out["semanticId"] = _reference(n["semanticId"], n.get("semanticKeys"), n.get("semanticRefKind"))
     if n.get("cardinality") and not n.get("qualifiers"):
         out["qualifiers"] = [{"type": "Cardinality", "valueType": "xs:string", "value": n["cardinality"]}]
     if isinstance(n.get("description"), dict):
         out["description"] = spoken(n["description"])
     if kind == "MultiLanguageProperty":
         out["value"] = spoken(n["value"] if isinstance(n.get("value"), dict) else {})
+    elif kind == "Blob" and isinstance(n.get("value"), str) and n.get("encoding") != "base64":
+        out["value"] = base64.b64encode(n["value"].encode()).decode()
     elif kind == "ReferenceElement":
         out["value"] = _reference(n.get("value"), n.get("keys"))
     for mine, theirs in (("elements", "value"), ("items", "value"), ("statements", "statements"), ("annotations", "annotations")):
@@ -51,23 +54,55 @@ def element(n: dict) -> dict:
     return {k: v for k, v in out.items() if v is not None}
 
 
-def environment(doc: str, name: str) -> dict:
-    d = json.loads(doc)
-    head = {"modelType": "Submodel", "id": d.get("id") or name} | {k: d[k] for k in ("idShort",) if k in d}
+def exchanged(d: dict, name: str) -> dict:
+    """A document as a submodel of the exchange format."""
+    out = {"modelType": "Submodel", "id": d.get("id") or name} | {k: d[k] for k in ("idShort", "kind", "category", "qualifiers", "displayName", "extensions", "embeddedDataSpecifications", "supplementalSemanticIds") if k in d}
     if d.get("semanticId"):
-        head["semanticId"] = _reference(d["semanticId"])
-    return {"submodels": [head | {"submodelElements": [element(x) for x in d.get("elements") or []]}]}
+        out["semanticId"] = _reference(d["semanticId"])
+    if isinstance(d.get("description"), dict):
+        out["description"] = [{"language": k, "text": v} for k, v in d["description"].items()]
+    admin = d.get("administrationSource") or {k: v for k, v in (d.get("administration") or {}).items() if v is not None and k != "creator"}
+    return out | ({"administration": admin} if admin else {}) | {"submodelElements": [element(x) for x in d.get("elements") or []]}
 
 
-def _package(doc: str, name: str) -> bytes:
+def environment(docs: list[tuple[str, str]], others: list[tuple[str, str]] = ()) -> dict:
+    """From submodels (doc, name) and other objects (kind, their own JSON)."""
+    named = {"shell": "assetAdministrationShells", "concept": "conceptDescriptions"}
+    env = {named[k]: [json.loads(x) for kind, x in others if kind == k] for k in named}
+    return {k: v for k, v in (env | {"submodels": [exchanged(json.loads(d), n) for d, n in docs]}).items() if v}
+
+
+def _package(env: dict, more: list[tuple[str, bytes]] = ()) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        files = {"[Content_Types].xml": _TYPES, "_rels/.rels": _RELS.format(kind="aasx-origin", target="/aasx/aasx-origin"), "aasx/aasx-origin": "", "aasx/_rels/aasx-origin.rels": _RELS.format(kind="aas-spec", target="/aasx/data.json"), "aasx/data.json": json.dumps(environment(doc, name), ensure_ascii=False)}
-        for k, v in files.items():
+        files = {"[Content_Types].xml": _TYPES, "_rels/.rels": _RELS.format(kind="aasx-origin", target="/aasx/aasx-origin"), "aasx/aasx-origin": "", "aasx/_rels/aasx-origin.rels": _RELS.format(kind="aas-spec", target="/aasx/data.json"), "aasx/data.json": json.dumps(env, ensure_ascii=False)}
+        for k, v in [*files.items(), *((n.lstrip("/"), bytes(c)) for n, c in more)]:
             z.writestr(zipfile.ZipInfo(k, (1980, 1, 1, 0, 0, 0)), v, zipfile.ZIP_DEFLATED)  # equal input, equal bytes
     return out.getvalue()
 
 
+def packages(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """package, content: everything that was read (``sources.packages.objects`` and ``parts``), written again: submodels from
+    their documents, shells and concepts as they came, and the parts that are no data of the package itself. A package is
+    one row, as it is one file."""
+    of = F.struct("part", "ord", "kind", F.coalesce("id", "id_short").alias("name"), F.when(F.col("kind") == "submodel", F.col("doc")).otherwise(F.col("source")).alias("json"))
+    objects = found.where("error is null").groupBy("package").agg(F.array_sort(F.collect_list(of)).alias("objects"))
+    read = found.where("error is null").select("package", "part").distinct()
+    own = F.col("part").contains("_rels/") | F.col("part").isin("/[Content_Types].xml", "/aasx/aasx-origin", "/aasx/data.json")
+    rest = parts.where(F.col("content").isNotNull() & ~own).join(read, ["package", "part"], "left_anti")
+    files = rest.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("files"))
+
+    @F.pandas_udf("binary")
+    def make(objects: pd.Series, files: pd.Series) -> pd.Series:
+        def one(held, more):
+            docs = [(o["json"], o["name"] or "") for o in held if o["kind"] == "submodel"]
+            return _package(environment(docs, [(o["kind"], o["json"]) for o in held if o["kind"] != "submodel"]), [(f["part"], f["content"]) for f in (more if more is not None else ())])
+
+        return pd.Series([one(o, f) for o, f in zip(objects, files, strict=True)], dtype=object)
+
+    return objects.join(files, "package", "left").select("package", make("objects", "files").alias("content"))
+
+
 def package(doc: Column | str, name: Column | str) -> Column:
     """Package bytes of a document; null for null or unreadable documents."""
 
@@ -75,7 +110,23 @@ def package(doc: Column | str, name: Column | str) -> Column:
     def make(docs: pd.Series, names: pd.Series) -> pd.Series:
         def one(d, n):
             try:
-                return _package(d, n) if d else None
+                return _package(environment([(d, n)])) if d else None
+            except (ValueError, AttributeError, TypeError):
+                return None
+
+        return pd.Series([one(d, n) for d, n in zip(docs, names, strict=True)], dtype=object)
+
+    return make(doc, name)
+
+
+def exchange_json(doc: Column | str, name: Column | str) -> Column:
+    """The exchange format's JSON of a document, UTF-8; null for null or unreadable documents."""
+
+    @F.pandas_udf("binary")
+    def make(docs: pd.Series, names: pd.Series) -> pd.Series:
+        def one(d, n):
+            try:
+                return json.dumps(environment([(d, n)]), ensure_ascii=False).encode() if d else None
             except (ValueError, AttributeError, TypeError):
                 return None
 
@@ -87,7 +138,15 @@ def package(doc: Column | str, name: Column | str) -> Column:
 def export(docs: DataFrame) -> DataFrame:
     """(..., doc, name, format) with content: the bytes in the row's format; rows of other formats are left out."""
     known = docs.where(F.col("format").isin(*FORMATS))
-    return known.withColumn("content", F.when(F.col("format") == "json", F.encode("doc", "UTF-8")).otherwise(package("doc", "name")))
+    return known.withColumn("content", F.when(F.col("format") == "json", exchange_json("doc", "name")).otherwise(package("doc", "name")))
+
+
+def verify(docs: DataFrame) -> DataFrame:
+    """A dry run of ``export``: everything is made, nothing kept. The rows come back with ``ok`` and ``error``."""
+    known = F.col("format").isin(*FORMATS)
+    made = F.when(F.col("format") == "json", exchange_json("doc", "name")).when(F.col("format") == "aasx", package("doc", "name"))
+    bad = F.when(~F.coalesce(known, F.lit(False)), "unknown format").when(made.isNull(), "document cannot be written")
+    return docs.withColumn("error", bad).withColumn("ok", F.col("error").isNull())
 
 
 def archive(files: DataFrame, key: str = "batch") -> DataFrame:
