@@ -6,8 +6,8 @@ counted, and hashes found in at least ``min_docs`` documents lose all their line
 reassembled by position.
 
 Texts are read twice and shuffled once; between, only hashes move. A line that is in a third of all documents is
-added up before the shuffle, and the join that marks its positions has one row a hash on the other side, so
-Spark can split it freely.
+added up before the shuffle. The frequent hashes are broadcast to the lines while they are few; if not, the join has
+one row a hash on that side, so Spark can split a common line's others freely.
 
 Defined results: a document is a row, so rows with the same or a null doc_id count as so many documents; a null
 or empty text is one empty line and stays as it is (a null text comes back as the empty text from
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch
+from .common import ASCII_SPACE, Scratch, broadcast_if_small
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,7 +57,8 @@ def _marked(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     # Rows of equal id and text lose equal lines, so those two tell rows apart well enough.
     hashed = scratch.table(docs.select(*keys, _hashes(F.col("text").cast("string"), min_chars).alias("hashes")), "lines")
     lines = hashed.select("id", "th", F.posexplode("hashes").alias("pos", "h")).where("h is not null").select("id", "th", "pos", "h.a", "h.b")
-    hit = lines.join(frequent(hashed, min_docs), ["a", "b"])
+    common = scratch.table(frequent(hashed, min_docs), "frequent")
+    hit = lines.join(broadcast_if_small(common, 40), ["a", "b"])  # broadcast, no line is dealt by its hash
     drops = hit.groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))
     whole = docs.select(F.struct("*").alias("doc"), *keys)
     same = whole["id"].eqNullSafe(drops["id"]) & (whole["th"] == drops["th"])
