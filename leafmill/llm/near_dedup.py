@@ -164,11 +164,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """g, a, p, n (size of a's set), both, either, diff (elements of only one of the two sets) of pairs (g, a, p)."""
 
+    def cut(batches):
+        for b in batches:
+            sizes = [range(len(x.as_buffer()) + len(y.as_buffer())) for x, y in zip(b.column(3), b.column(4), strict=True)]
+            yield from (b.slice(i, j - i) for i, j in blocks(sizes, 16 * BLOCK))
+
     def run(batches):
         import pyarrow as pa
 
         held, known = None, None
-        for b in batches:
+        for b in cut(batches):
             n, both, either, diffs = [], [], [], []
             for x, y, key in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
                 if key != held:
@@ -261,7 +266,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Rows of one doc_id with different texts are different documents of one name: links meet in the name.
     comp = linked_classes(members, sets_of, percent, scratch, classes.where("c <> id").select("c", "id"))
     names = classes.join(comp, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
-    out = sig.join(names, "digest", "left")
+    # Rows without words have no class; joined, they would all be one task.
+    some = sig.where("digest is not null").join(names, "digest", "left").select("doc_id", "th", "n", "comp")
+    out = some.unionByName(sig.where("digest is null").select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
