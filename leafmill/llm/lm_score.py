@@ -10,8 +10,9 @@ counts to buckets by hash (as many as the corpus needs, ``BUCKET`` words each),
 sends each block the totals of what the block asked for. So a common word or bigram is one entry a block, a task
 holds one block or one bucket, and what is gathered grows with the corpus.
 
-p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU);  p(w) = (c(w) + 1) / (N + V); a document's first word has p(w). V is the
-number of distinct words of all documents, ``WORDS`` at least (a small corpus leaves room for unseen words).
+p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU);  p(w) = (c(w) + 1) / (N + D + V + 1); a document's first word has p(w). V
+is the number of distinct words of all documents, ``WORDS`` at least (a small corpus leaves room for unseen words), D the
+number of documents with words: their ends are an event as words are, so all sums to 1; a score counts the words' loss.
 
 Defined results: a document without words has null losses; null or repeated doc_ids are passed through; without
 labels the target is empty and its model uniform; other columns are ignored; an empty table gives no rows.
@@ -55,7 +56,8 @@ def _unpacked(scalar, kind=np.int64) -> np.ndarray:
 
 def coded(docs: DataFrame, target: DataFrame) -> DataFrame:
     """One row a block of documents: block, ids, n (words of each), chosen (whether in the target), names (the distinct
-    words' hashes), codes (the words, as places in names), words and target_words (their numbers). ``target``: the
+    words' hashes), codes (the words, as places in names), and the numbers of words and of documents with words, of all and
+    of the target. ``target``: the
     distinct doc_ids of the target."""
 
     def run(batches):
@@ -73,8 +75,8 @@ def coded(docs: DataFrame, target: DataFrame) -> DataFrame:
             rank[order] = np.arange(len(names), dtype=np.int32)
             cells = [_packed(x) for x in (n, chosen, names[order], rank[codes])]
             at = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            out = [pa.array([made]), at, *(pa.array([x], pa.binary()) for x in cells), pa.array([len(words)]), pa.array([int(n[chosen].sum())])]
-            return pa.RecordBatch.from_arrays(out, ["block", "ids", "n", "chosen", "names", "codes", "words", "target_words"])
+            out = [pa.array([made]), at, *(pa.array([x], pa.binary()) for x in cells), *(pa.array([int(x)]) for x in (len(words), n[chosen].sum(), (n > 0).sum(), (n[chosen] > 0).sum()))]
+            return pa.RecordBatch.from_arrays(out, ["block", "ids", "n", "chosen", "names", "codes", "words", "target_words", "docs", "target_docs"])
 
         for b in batches:
             for i, j in _ranges(b.column(1)):
@@ -88,7 +90,7 @@ def coded(docs: DataFrame, target: DataFrame) -> DataFrame:
     mark = target.select(F.col("doc_id").alias("m"), F.lit(True).alias("chosen"))
     src = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     src = src.join(broadcast_if_small(mark, 40), src["id"] == mark["m"], "left").select(F.col("id").cast("long").alias("id"), "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    return src.mapInArrow(run, "block long, ids array<long>, n binary, chosen binary, names binary, codes binary, words long, target_words long")
+    return src.mapInArrow(run, "block long, ids array<long>, n binary, chosen binary, names binary, codes binary, words long, target_words long, docs long, target_docs long")
 
 
 def _entries(names: np.ndarray, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,9 +152,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     target = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     rows = scratch.table(coded(docs, target), "blocks")
-    sums = rows.agg(F.sum("target_words"), F.sum("words")).first()
-    numbers = [x or 0 for x in sums]
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-numbers[1] // BUCKET))
+    sums = [x or 0 for x in rows.agg(*(F.sum(c) for c in ("target_words", "words", "target_docs", "docs"))).first()]
+    numbers = [sums[0] + sums[2] + 1, sums[1] + sums[3] + 1]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sums[1] // BUCKET))
     counted = scratch.table(counts(rows, buckets), "counts")
     vocabulary = max(WORDS, counted.where("kind = 0").groupBy("bucket").agg(F.first("keys").alias("keys")).agg(F.sum("keys")).first()[0] or 0)
 
