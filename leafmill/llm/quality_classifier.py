@@ -5,8 +5,8 @@ are scaled by the classes' log-count ratios; a linear hinge-loss model is fitted
 descent (Hsieh et al. 2008, L2-loss). Scores are the margin through a sigmoid fitted on documents that the model
 did not see.
 
-The fit takes at most about ``MAX_FIT`` labelled documents (the documented bound), chosen by a hash of their id;
-executors turn them to indicator ids, the driver fits. Scoring reads every whole text where it lies: no shuffle,
+The fit takes at most about ``MAX_FIT`` labelled documents with ``MAX_IDS`` indicators (the documented bounds), chosen by a
+hash of their id; executors turn them to indicator ids, the driver fits. Scoring reads every whole text where it lies: no shuffle,
 and what is broadcast has a fixed size.
 
 Defined results: label rows with a null doc_id or quality are ignored, of contradicting labels the larger counts;
@@ -22,9 +22,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .tokens import forget
 
-MAX_FIT = 8000
+MAX_FIT, MAX_IDS = 8000, 32_000_000
 TRIPLES, LEVELS, SHAPES = 1 << 16, 10, 32
 SIZE = 65536 + TRIPLES + 256 * LEVELS + SHAPES
 
@@ -130,7 +131,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_ids: int = MAX_IDS) -> Model:
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     n = known.count()
     if n > max_fit:  # an even choice by hash, no sort
@@ -148,7 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["doc_id", "label", "ids"])
 
-    got = chosen.mapInArrow(run, "doc_id long, label int, ids array<int>").toArrow().sort_by("doc_id")
+    made = Scratch(docs.sparkSession).table(chosen.mapInArrow(run, "doc_id long, label int, ids array<int>"), "fit")
+    total = made.agg(F.sum(F.size("ids"))).first()[0] or 0
+    if total > max_ids:  # long texts: fewer of them, again by hash
+        made = made.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * max_ids / total))
+    got = made.toArrow().sort_by("doc_id")
     lists = got.column("ids").combine_chunks()
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
     return fit([flat[a:b] for a, b in zip(at, at[1:], strict=False)], got.column("label").to_numpy().astype(int))

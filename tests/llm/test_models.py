@@ -20,7 +20,7 @@ def test_lm_losses_against_python(spark):
     def model(docs):
         one, two = Counter(w for t in docs for w in split(t)), Counter(p for t in docs for p in zip(split(t), split(t)[1:], strict=False))
         n = sum(one.values())
-        p = lambda w: (one[w] + 1) / (n + lm_score.WORDS)
+        p = lambda w: (one[w] + 1) / (n + sum(map(bool, map(split, docs))) + lm_score.WORDS + 1)
         return lambda v, w: -math.log(p(w) if v is None else (two[v, w] + lm_score.MU * p(w)) / (one[v] + lm_score.MU))
 
     target, background = model([t for d, t in rows if d == 1]), model([t for _, t in rows])
@@ -42,11 +42,11 @@ def test_lm_counts_every_word_and_pair_apart(spark):
     assert size > lm_score.WORDS and len(got) == len(rows)
     for of in ([t for d, t in rows if d % 3 == 0], [t for _, t in rows]):
         one, two = Counter(w for t in of for w in t.split()), Counter(p for t in of for p in zip(t.split(), t.split()[1:], strict=False))
-        models.append((one, two, sum(one.values())))
+        models.append((one, two, sum(one.values()), len(of)))
     for d, t in rows:
         w = t.split()
-        for (one, two, n), loss in zip(models, (got[d].target_loss, got[d].background_loss), strict=True):
-            p = [(one[x] + 1) / (n + size) for x in w]
+        for (one, two, n, docs), loss in zip(models, (got[d].target_loss, got[d].background_loss), strict=True):
+            p = [(one[x] + 1) / (n + docs + size + 1) for x in w]
             q = p[:1] + [(two[v, x] + lm_score.MU * y) / (one[v] + lm_score.MU) for v, x, y in zip(w, w[1:], p[1:], strict=False)]
             assert max(q) <= 1 and loss == pytest.approx(-sum(map(math.log, q)) / len(q), abs=1e-9)
 
@@ -83,3 +83,59 @@ def test_classifier_without_labels(spark):
     assert {r.score for r in quality_classifier.classify(frame(spark), labels.where("false")).collect()} == {0.5}
     assert all(r.predicted == 1 for r in quality_classifier.classify(frame(spark, rows), labels.where("quality = 1")).collect())
     assert quality_classifier.classify(frame(spark, []), labels).count() == 0
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over the vocabulary and the end of a document, after any word: words of one document each ask for one of them."""
+    rows = [(1, "a b a c"), (2, "b a"), (3, "c")]
+    got = {r.doc_id: math.exp(-r.background_loss * 2) for r in lm_score.score(spark.createDataFrame(rows + [(10 + i, f"a {w}") for i, w in enumerate("abc")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).collect() if r.doc_id >= 10}
+    one = Counter("abac" "ba" "c" "aa" "ab" "ac")
+    n, d, v = sum(one.values()), 6, lm_score.WORDS
+    p = lambda c: (c + 1) / (n + d + v + 1)
+    seen = sum(x / p(one["a"]) for x in got.values())  # p(w | a) of the three words
+    ends = 1 + 1  # documents that end in a: 2 and "a a"
+    rest = (ends + lm_score.MU * (p(d) + (v - 3) * p(0))) / (one["a"] + lm_score.MU)
+    assert seen + rest == pytest.approx(1, abs=1e-9)
+
+
+def test_dual_solution_is_the_primals(spark):
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(80)]
+    x, y = [rng.normal(size=len(r)) for r in rows], np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    w, b = quality_classifier.dual_descent(rows, x, y, 1.0, 2000)
+    dense = np.zeros((80, 41))
+    for i, (r, v) in enumerate(zip(rows, x, strict=True)):
+        dense[i, r], dense[i, 40] = v, 1
+    value = lambda u: u @ u / 2 + (np.maximum(0, 1 - y * (dense @ u)) ** 2).sum()
+    u = np.zeros(41)
+    for _ in range(200):  # Newton steps on the primal, which is smooth but for its second derivative
+        on = y * (dense @ u) < 1
+        g = u - 2 * dense[on].T @ (y[on] * (1 - y[on] * (dense[on] @ u)))
+        u -= np.linalg.solve(np.eye(41) + 2 * dense[on].T @ dense[on], g)
+    assert value(np.append(w[:40], b)) == pytest.approx(value(u), rel=1e-3)
+
+
+def test_ratios_are_those_of_the_counts():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab" if k else "bc") for _ in range(rng.randrange(1, 9))) for k in (0, 1) * 20]
+    label = np.array([0, 1] * 20)
+    rows = [quality_classifier.indicators(t) for t in texts]
+    model = quality_classifier.fit(rows, label)
+    learn = range(40)  # under 50 rows: none is kept for the sigmoid
+    sums = [[1.0] * quality_classifier.SIZE for _ in (0, 1)]
+    for i in learn:
+        for k in rows[i]:
+            sums[label[i]][k] += 1
+    total = [math.fsum(s) for s in sums]
+    for k in {int(k) for r in rows for k in r}:
+        want = math.log(sums[1][k] / total[1]) - math.log(sums[0][k] / total[0])
+        assert model.square[k] == pytest.approx(want**2, abs=1e-9)
+    pairs = {t[i : i + 2] for t in texts for i in range(len(t) - 1)}
+    assert {int(k) for r in rows for k in r if k < 65536} == {ord(p[0]) << 8 | ord(p[1]) for p in pairs}
+
+
+def test_fit_is_bounded_by_indicators(spark):
+    rows, labels = labelled(spark, 300)
+    docs = frame(spark, rows)
+    all_, few = quality_classifier.train(docs, labels), quality_classifier.train(docs, labels, max_ids=10_000)
+    assert (all_.square != few.square).any() and np.mean([(few.score(quality_classifier.indicators(t)) >= 0.5) == (i % 3 > 0) for i, t in rows]) > 0.95
