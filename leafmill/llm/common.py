@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder; set to a new temporary folder only if the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir()
@@ -45,6 +47,21 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def made_so_far() -> int:
+    """A mark for ``sweep``."""
+    return len(_made)
+
+
+def sweep(since: int, keep: DataFrame) -> None:
+    """Deletes what was made since a mark, but for the table ``keep``: for steps whose results are written in it."""
+    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()}
+    for k in reversed(range(since, len(_made))):
+        spark, path = _made[k]
+        if kept and path.split(":", 1)[-1].lstrip("/") not in kept:
+            delete_path(spark, path)
+            del _made[k]
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _made:
