@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, broadcast_if_small
+from .common import BROADCAST_BYTES, WORD, Scratch
 
 # Possessive, as Java's matcher recurses on other repeats of groups and runs out of stack.
 QUOTED = r"^[ \t]*+>"
@@ -38,8 +38,23 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(text, START, "")), F.lit(WORD), F.lit(0))
 
 
-def _hash(words: Column) -> Column:
-    return F.struct(F.xxhash64(words).alias("a"), F.hash(words).alias("b"))
+def with_run_hashes(rows: DataFrame, longest: int) -> DataFrame:
+    """Adds ``hs``: the hashes of the runs of 1, 2, 4 ... words of ``w`` by their first word, as far as ``longest`` needs
+    them. So a run of any length is hashed in one step, by the two of them that cover it."""
+    out = rows.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h0"))
+    levels = max(longest, 1).bit_length()
+    for j in range(levels - 1):
+        h, step = f"h{j}", 1 << j
+        longer = F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
+        out = out.select("*", longer.alias(f"h{j + 1}"))
+    return out.select(*rows.columns, F.array(*(f"h{j}" for j in range(levels))).alias("hs"))
+
+
+def _run(at: Column, n: Column) -> Column:
+    """The hash of the run of ``n`` words from ``at`` on."""
+    level = F.length(F.bin(n)) - 1
+    block = F.get(F.col("hs"), level)
+    return F.xxhash64(F.get(block, at), F.get(block, at + n - F.pow(F.lit(2), level).cast("int")))
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -63,11 +78,13 @@ def named(parsed: DataFrame) -> DataFrame:
     return parsed.where("conv_id is not null and turn is not null")
 
 
-def quotes(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, pos, level, n (words), h: every quoted passage with words in it."""
-    each = named(parsed).select("conv_id", "turn", F.posexplode(F.filter("parts", lambda p: p["level"] > 0)).alias("pos", "p"))
-    each = each.select("conv_id", "turn", "pos", "p.level", _words(F.col("p.text")).alias("w")).where(F.size("w") > 0)
-    return each.select("conv_id", "turn", "pos", "level", F.size("w").alias("n"), _hash(F.col("w")).alias("h"))
+def quotes(parsed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """conv_id, turn, pos, level, n (words), h: every quoted passage with words in it; and the longest's number of words."""
+    each = named(parsed).select("conv_id", "turn", F.posexplode_outer(F.filter("parts", lambda p: p["level"] > 0)).alias("pos", "p")).where("pos is not null")
+    each = each.select("conv_id", "turn", "pos", "p.level", _words(F.col("p.text")).alias("w"))
+    each = scratch.table(each.select("*", F.size("w").alias("n")).where("n > 0"), "quoted")
+    longest = each.agg(F.max("n")).first()[0] or 0
+    return scratch.table(with_run_hashes(each, longest).select("conv_id", "turn", "pos", "level", "n", _run(F.lit(0), F.col("n")).alias("h")), "quotes"), longest
 
 
 def own_text(parts: Column) -> Column:
@@ -75,17 +92,21 @@ def own_text(parts: Column) -> Column:
     return F.regexp_replace(F.btrim(F.array_join(own, "\n"), F.lit(" \t\n")), r"\n{3,}", "\n\n")
 
 
-def originals(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
+def originals(parsed: DataFrame, quoted: DataFrame, longest: int) -> DataFrame:
     """conv_id, n, h, said (the first turn): runs of ``n`` own words from a line's or sentence's start, for the numbers
     of words that quotes of the conversation have."""
-    asked = quoted.select("conv_id", "n").distinct()
+    asked = quoted.groupBy("conv_id").agg(F.collect_set("n").alias("ns"))
+    held = asked.agg(F.count(F.lit(1)), F.sum(F.size("ns"))).first()
+    side = F.broadcast(asked) if 32 * held[0] + 8 * (held[1] or 0) <= BROADCAST_BYTES else asked.hint("merge")
     spoken = F.translate(own_text(F.col("parts")), START, "")
-    said = named(parsed).join(broadcast_if_small(asked, 40), "conv_id").select("conv_id", "turn", "n", F.regexp_extract_all(F.regexp_replace(F.lower(spoken), BREAK, "$1" + START), F.lit(WORD), F.lit(0)).alias("marked"))
-    at = F.filter(F.transform("marked", lambda x, i: F.when((i == 0) | x.startswith(START), i)), lambda i: i + F.col("n") <= F.size("marked"))
-    said = said.select("conv_id", "turn", "n", at.alias("at"), F.transform("marked", lambda x: F.ltrim(x, F.lit(START))).alias("w"))
-    # Outer: for others Spark adds a filter on the array's size, and takes all the expressions of the text into it once more.
-    runs = said.select("conv_id", "turn", "n", F.explode_outer(F.transform("at", lambda i: _hash(F.slice("w", i + 1, F.col("n"))))).alias("h"))
-    return runs.where("h is not null").groupBy("conv_id", "n", "h").agg(F.min("turn").alias("said"))
+    said = named(parsed).join(side, "conv_id").select("conv_id", "turn", "ns", F.regexp_extract_all(F.regexp_replace(F.lower(spoken), BREAK, "$1" + START), F.lit(WORD), F.lit(0)).alias("marked"))
+    at = F.filter(F.transform("marked", lambda x, i: F.when((i == 0) | x.startswith(START), i)), lambda i: i.isNotNull())
+    said = said.select("conv_id", "turn", "ns", at.alias("at"), F.transform("marked", lambda x: F.ltrim(x, F.lit(START))).alias("w"))
+    said = with_run_hashes(said, longest)
+    runs = F.transform("ns", lambda n: F.transform(F.filter("at", lambda i: i + n <= F.size("w")), lambda i: F.struct(n.alias("n"), _run(i, n).alias("h"))))
+    # Both arrays are used twice, and the explosion is outer: otherwise Spark computes them anew in each step, or in a filter.
+    each = said.select("conv_id", "turn", F.explode_outer(F.when((F.size("at") > 0) & (F.size("w") > 0), F.flatten(runs))).alias("r"))
+    return each.where("r is not null").select("conv_id", "turn", "r.*").groupBy("conv_id", "n", "h").agg(F.min("turn").alias("said"))
 
 
 def threads(replies: DataFrame, scratch: Scratch) -> DataFrame:
@@ -124,8 +145,8 @@ def link(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, thread (its first turn), depth (replies from there), position, n_quotes, n_linked, own_text."""
     scratch = Scratch(messages.sparkSession)
     parsed = scratch.table(passages(messages), "passages")
-    quoted = scratch.table(quotes(parsed), "quotes")
-    joined = quoted.join(originals(parsed, quoted), ["conv_id", "n", "h"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
+    quoted, longest = quotes(parsed, scratch)
+    joined = quoted.join(originals(parsed, quoted, longest), ["conv_id", "n", "h"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
     best = F.min(F.when(F.col("said").isNotNull(), F.struct("level", "pos", "said")))
     place = F.struct("pos", "n", "h")
     mine = joined.groupBy("conv_id", "turn").agg(F.countDistinct(place).alias("n_quotes"), F.countDistinct(F.when(F.col("said").isNotNull(), place)).alias("n_linked"), best["said"].alias("to"))
