@@ -55,3 +55,20 @@ def test_empty_corpus(spark, data, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), sf).count() == 0
     assert line_dedup.clean_documents(docs.where("false")).columns == docs.columns == decontam.clean_documents(docs.where("false"), spark.read.parquet(f"{sf}/benchmark.parquet")).columns
+
+
+def test_odd_rows(spark, data, tmp_path):
+    """Nulls, repeated ids and columns of clashing names in every stage."""
+    sf, docs = data
+    good = [r.text for r in docs.where("doc_id < 3").collect()]
+    rows = [(None, good[0]), (None, None), (300, None), (300, ""), (301, good[1]), (301, good[1]), (302, good[2]), (302, "stone42 " * 3 + good[2][:120])]
+    more = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 7, "k", "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id long, th string, doc string")
+    now = docs.selectExpr("*", "7L AS id", "'k' AS th", "'x' AS doc").unionByName(more)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == now.columns
+        now = spark.createDataFrame(out.collect(), now.schema)
+    left = [(r.doc_id, r.text) for r in now.collect()]
+    # Null ids are never dropped as copies; the copies of documents 0 and 1 go, as rows of equal id and text do together.
+    assert sum(d is None and t is not None for d, t in left) == 1 and not any(d == 301 for d, _ in left)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf).select("doc_id").distinct().count() == len({d for d, _ in left})
