@@ -54,10 +54,10 @@ def made_so_far() -> int:
 
 def sweep(since: int, keep: DataFrame) -> None:
     """Deletes what was made since a mark, but for the table ``keep``: for steps whose results are written in it."""
-    kept = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in keep.inputFiles()}
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}  # the tables' own names, which are unique
     for k in reversed(range(since, len(_made))):
         spark, path = _made[k]
-        if kept and path.split(":", 1)[-1].lstrip("/") not in kept:
+        if kept and path.rsplit("/", 1)[-1] not in kept:
             delete_path(spark, path)
             del _made[k]
 
