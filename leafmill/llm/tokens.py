@@ -1,8 +1,9 @@
 """Whole-text encoding with a tokenizers file, memoised by white-space delimited pieces.
 
-Both supported vocabularies never form a pre-token that reaches from a non-space into a space, so a text may
+The vocabularies named in ``CUTTABLE`` never form a pre-token that reaches from a non-space into a space, so a text may
 be cut before each space that follows a non-space: the ids of the parts, in order, are the ids of the text.
-Pieces repeat far more often than texts do; each is encoded once per cache fill and then looked up.
+Pieces repeat far more often than texts do; each is encoded once per cache fill and then looked up. With any other
+vocabulary, of which that is not known, a text is one piece.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of Latin letters may also end before ASCII punctuation: letters never share a pre-token with it.
 CUT = re.compile(f"[{SPACE}]*+[{LATIN}]++(?=[!-/:-@\\[-`{{-~])|[{SPACE}]*+[^{SPACE}]++|[{SPACE}]+")
+#: Vocabulary files that texts may be cut for.
+CUTTABLE = ("byte_bpe_50k.json", "word_bpe_49k.json")
 #: Pieces in the cache of a Python worker, about 200 bytes each; a full cache is emptied.
 CACHE_PIECES = 400_000
 
@@ -51,6 +54,7 @@ class Encoder:
         self.tok.encode_special_tokens = special_as_text  # as the library has it, their strings give the tokens
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.cuttable = os.path.basename(path) in CUTTABLE
         self.folds = spec["normalizer"] is not None
         self.width = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         # One pre-token for certain: it can go to the BPE model without the passes before it.
@@ -66,8 +70,8 @@ class Encoder:
 
     def cut(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; their ids are in ``ids`` until the next call."""
-        cut = [CUT.findall(t) for t in texts]
-        if len(self.ids) > CACHE_PIECES:
+        cut = [CUT.findall(t) for t in texts] if self.cuttable else [[t] for t in texts]
+        if len(self.ids) > CACHE_PIECES or not self.cuttable:
             self.ids.clear()
         new = set().union(*cut).difference(self.ids) if cut else ()
         slow, model, dt = [], self.tok.model.tokenize, self.width
@@ -75,7 +79,7 @@ class Encoder:
         from array import array
 
         for p in new:
-            if self.single(p):
+            if self.cuttable and self.single(p):
                 self.ids[p] = array(kind, [x.id for x in model(self._piece(p))]).tobytes()
             else:
                 slow.append(p)
@@ -91,7 +95,7 @@ class Encoder:
 
     def offsets(self, pieces: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every token of the pieces, in code points from their ``base``, and its piece."""
-        if len(self.spans) > CACHE_PIECES // 3:
+        if len(self.spans) > CACHE_PIECES // 3 or not self.cuttable:
             self.spans.clear()
         new = list({*pieces}.difference(self.spans))
         for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):

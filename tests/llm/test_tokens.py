@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmill.llm import packing, token_counts, token_store
+from leafmill.llm import packing, token_counts, token_store, tokens
 
 from .odd import ROWS, frame, plain
 
@@ -165,3 +165,13 @@ def test_named_sections(spark):
     got = {r.name: r.tokens for r in token_counts.count_tokens(token_counts.field_sections(docs, spans)).collect()}
     offsets = library("byte_bpe_50k.json").encode("title: some words here").offsets
     assert got["head"] == sum(b <= 6 for _, b in offsets) and got[None] == sum(a >= 16 for a, _ in offsets)
+
+
+def test_other_vocabularies_encode_texts_whole(tmp_path):
+    import shutil
+
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), tmp_path / "other.json")
+    enc, tok = tokens.Encoder(str(tmp_path / "other.json")), library("byte_bpe_50k.json")
+    texts = ["Some words, some  more.", "", "Some words, some  more.", "x" * 300]
+    assert enc.cut(texts) == [[t] for t in texts]
+    assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
