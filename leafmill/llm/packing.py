@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import blocks, encoder
+from .tokens import CACHE_PIECES, blocks, encoder, give_back
 
 DIMENSIONS, BITS = 4, 12
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -64,19 +64,20 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, end_id: int, held: int = CACHE_PIECES) -> DataFrame:
     """doc_id, n (ids with the end id), key on the curve, ids (binary, the vocabulary's width)."""
 
     def run(batches):
         import pyarrow as pa
 
-        enc = encoder(vocabulary)
+        give_back()
+        enc = encoder(vocabulary, held=held)
         end = np.array([end_id], enc.width).tobytes()
         signs = directions(enc.tok.get_vocab_size())
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i, j in blocks(texts):
-                ids = [x + end for x in enc.encode(texts[i:j])]
+            sizes = [range(len(x.as_buffer())) if x.is_valid else None for x in b.column(1)]
+            for i, j in blocks(sizes):
+                ids = [x + end for x in enc.encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])]
                 n = np.array([len(x) // enc.width.itemsize for x in ids])
                 flat = signs[np.frombuffer(b"".join(ids), enc.width)]
                 # The sum over a document, in units of its standard deviation under random signs times a root of its length.
@@ -111,10 +112,11 @@ def stream_starts(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return local.join(F.broadcast(bases), "part").select("row", (F.col("before") + F.col("base")).alias("start"))
 
 
-def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, payload: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on request, ids."""
+def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, payload: bool = False, held: int = CACHE_PIECES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on request, ids.
+    ``held``: pieces of text whose ids a worker remembers, about 200 bytes each."""
     scratch = Scratch(docs.sparkSession)
-    encoded = scratch.table(encode(docs, vocabulary, end_id).withColumn("row", F.monotonically_increasing_id()), "ids")
+    encoded = scratch.table(encode(docs, vocabulary, end_id, held).withColumn("row", F.monotonically_increasing_id()), "ids")
     starts = stream_starts(encoded.select("row", "key", "n"), scratch)
 
     def cut(batches):

@@ -45,7 +45,8 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes whole texts; ids are the library's own, whatever way a piece takes."""
 
-    def __init__(self, name: str, special_as_text: bool = False):
+    def __init__(self, name: str, special_as_text: bool = False, held: int = CACHE_PIECES):
+        self.held = held
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -71,7 +72,7 @@ class Encoder:
     def cut(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; their ids are in ``ids`` until the next call."""
         cut = [CUT.findall(t) for t in texts] if self.cuttable else [[t] for t in texts]
-        if len(self.ids) > CACHE_PIECES or not self.cuttable:
+        if len(self.ids) > self.held or not self.cuttable:
             self.ids.clear()
         new = set().union(*cut).difference(self.ids) if cut else ()
         slow, model, dt = [], self.tok.model.tokenize, self.width
@@ -95,7 +96,7 @@ class Encoder:
 
     def offsets(self, pieces: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of every token of the pieces, in code points from their ``base``, and its piece."""
-        if len(self.spans) > CACHE_PIECES // 3 or not self.cuttable:
+        if len(self.spans) > self.held // 3 or not self.cuttable:
             self.spans.clear()
         new = list({*pieces}.difference(self.spans))
         for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
@@ -110,16 +111,32 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(name: str, special_as_text: bool = False) -> Encoder:
+def encoder(name: str, special_as_text: bool = False, held: int = CACHE_PIECES) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
     if (name, special_as_text) not in _encoders:
-        _encoders[name, special_as_text] = Encoder(name, special_as_text)
+        _encoders[name, special_as_text] = Encoder(name, special_as_text, held)
     return _encoders[name, special_as_text]
 
 
 def forget() -> None:
     """Drops this worker's encoders with their caches: workers outlive stages, and the next one needs the memory."""
     _encoders.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns what earlier stages of this worker freed to the system, where it can be asked to."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        return
 
 
 def blocks(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
