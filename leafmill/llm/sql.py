@@ -23,6 +23,15 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, fail_bits = 0 AS kept, CAST(fail_bits AS BIGINT) AS fail_bits FROM r
 """
 
+# The two versions of the policy, as masks: the base has rules 0 and 1, the other all eight.
+ABLATIONS = f"""
+WITH b AS (SELECT fail_bits AS f FROM ({OP1})),
+p AS (SELECT version, m, rule, CAST(1 AS BIGINT) << k AS bit FROM (VALUES ('base', 3), ('2024-1', 255)) AS v(version, m),
+  (VALUES (0, 'few_words'), (1, 'repeated_windows'), (2, 'symbols'), (3, 'duplicate_lines'), (4, 'shouting'), (5, 'long_words'), (6, 'short_words'), (7, 'word_runs')) AS r(k, rule))
+SELECT version, rule, count(*) AS n_docs, count(*) FILTER (WHERE f & bit > 0) AS n_failed, count(*) FILTER (WHERE f & m > 0) AS n_rejected,
+  count(*) FILTER (WHERE f & m = bit) AS n_only, count(*) FILTER (WHERE f & m = 0 AND f & bit > 0) AS n_added FROM b, p GROUP BY version, rule
+"""
+
 _LINE_KEY = "translate(trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5 = f"""
@@ -47,4 +56,4 @@ c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op5_line_dedup": OP5, "op6_near_dedup": OP6}
+ORACLES = {"op1_quality_rules": OP1, "op5_line_dedup": OP5, "op6_near_dedup": OP6, "quality_ablations": ABLATIONS}
