@@ -56,4 +56,15 @@ c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op5_line_dedup": OP5, "op6_near_dedup": OP6, "quality_ablations": ABLATIONS}
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256(concat('42:', CAST(doc_id AS VARCHAR))) AS h FROM documents),
+g AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, list_transform(range(0, 4), lambda i: CAST(concat('0x', substr(h, CAST(1 + 8 * i AS INT), 8)) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', pre, '<S>', suf, '<M>', mid) ELSE concat('<S>', suf, '<P>', pre, '<M>', mid) END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLES = {"op12_fill_middle": OP12, "op1_quality_rules": OP1, "op5_line_dedup": OP5, "op6_near_dedup": OP6, "quality_ablations": ABLATIONS}
