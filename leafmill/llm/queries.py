@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, decontam, fill_middle, line_dedup, lm_score, near_dedup, packing, quality_classifier, quality_rules, token_counts, token_store, whitening
+from . import chat_quotes, decontam, fill_middle, language_id, line_dedup, lm_score, near_dedup, packing, quality_classifier, quality_rules, token_counts, token_store, whitening
 from .sql import ORACLES
 
 
@@ -64,6 +64,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("th")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_middle.restore(fill_middle.transform(_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_chat_quotes,
         op10_quality_classifier,
+        op11_language_id,
         op12_fill_middle,
         op13_whitening,
         quality_ablations,
