@@ -255,3 +255,60 @@ def item_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit('{"elements":[{"idShort":"L","modelType":"SubmodelElementList",'), own, F.lit("}]}"))
     made = hydrate.item_templates(tree.flatten(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("template"), doc.alias("doc"))))
     return made.select(F.col("template").cast("long").alias("p_partkey"), "origin", tree.field("value").alias("value"), tree.field("valueType").alias("value_type"))
+
+
+#: Names that read like paths: a collection ``a`` with a property ``a``, beside properties called ``a.a`` and ``a[0]``.
+DOTTED = {
+    "elements": [
+        {"idShort": "a", "modelType": "SubmodelElementCollection", "cardinality": "[1]", "elements": [{"idShort": "a", "modelType": "Property", "valueType": "xs:string", "cardinality": "[1]", "value": "inner"}]},
+        {"idShort": "a.a", "modelType": "Property", "valueType": "xs:string", "cardinality": "[0..1]", "value": "outer"},
+        {"idShort": "a[0]", "modelType": "Property", "valueType": "xs:string", "cardinality": "[1]", "value": "zero"},
+    ]
+}
+
+
+def dotted_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as forms: by the size, the value is that of the inner node, of the one whose name reads like its path, or of both."""
+    k, v = F.col("p_size") % 4, _text(F.col("p_name"))
+    outer, zero = F.concat(F.lit('"a.a":{"value":'), v, F.lit("}")), F.lit('"a[0]":{"value":"z"}')
+    inner = F.concat(F.lit('"a":{"elements":{"a":{"value":'), v, F.lit("}}}"))
+    body = F.when(k == 0, F.concat_ws(",", outer, F.lit('"a":{"elements":{}}'), zero)).when(k == 1, F.concat_ws(",", inner, zero)).when(k == 2, F.concat_ws(",", outer, inner)).otherwise(outer)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("submission_id"), F.lit("dotted").alias("template"), F.concat(F.lit('{"elements":{'), body, F.lit("}}")).alias("form"))
+
+
+@query("""SELECT p_partkey, 'a.a' AS field, 'Required field ''a'' is missing' AS message FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, 'a[0]', 'Required field ''a[0]'' is missing' FROM part WHERE p_size % 4 >= 2
+  UNION ALL SELECT p_partkey, 'a', 'Required field ''a'' is missing' FROM part WHERE p_size % 4 = 3""")
+def validate_dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form's key ``a.a`` is not the node ``a`` in ``a``, nor is ``a[0]`` an item."""
+    found = validate.run(_flat(spark, "dotted", DOTTED), forms.flatten(dotted_submissions(spark, sf_dir)))
+    return found.select(F.col("submission_id").cast("long").alias("p_partkey"), "field", "message")
+
+
+@query("""SELECT p_partkey, u.place, CASE u.place WHEN '0/0' THEN CASE WHEN p_size % 4 IN (1, 2) THEN p_name ELSE 'inner' END WHEN '1' THEN CASE WHEN p_size % 4 <> 1 THEN p_name ELSE 'outer' END WHEN '2' THEN CASE WHEN p_size % 4 < 2 THEN 'z' ELSE 'zero' END END AS value
+  FROM part, (VALUES ('0'), ('0/0'), ('1'), ('2')) AS u(place)""")
+def hydrate_dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a node, each with its own value; nodes are told apart by their places."""
+    subs = dotted_submissions(spark, sf_dir)
+    merged = hydrate.merge(subs, _flat(spark, "dotted", DOTTED), forms.flatten(subs))
+    place = F.array_join(F.transform("sort", lambda x: x["ord"].cast("string")), "/")
+    return merged.select(F.col("submission_id").cast("long").alias("p_partkey"), place.alias("place"), "value")
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size < 50 THEN p_size % 12 END AS BIGINT) AS levels, CASE WHEN p_size < 50 THEN p_name END AS value, p_size = 50 AS unreadable FROM part""")
+def forms_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of up to 11 levels by the part's size, and of 600 levels, beyond what is parsed, for size 50: no node is lost without an error."""
+    n = F.when(F.col("p_size") == 50, 600).otherwise(F.col("p_size") % 12)
+    form = F.concat(F.repeat(F.lit('{"elements":{"n":'), n), F.lit('{"value":'), _text(F.col("p_name")), F.lit("}"), F.repeat(F.lit("}}"), n))
+    nodes = forms.flatten(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("submission_id"), F.lit("deep").alias("template"), form.alias("form")))
+    one = nodes.groupBy(F.col("submission_id").alias("p_partkey")).agg(F.max("depth").alias("d"), F.max_by("value_raw", "depth").alias("value"), F.max("error").alias("error"))
+    return one.select("p_partkey", F.when(F.col("error").isNull(), F.col("d") + 1).cast("long").alias("levels"), "value", F.col("error").isNotNull().alias("unreadable"))
+
+
+@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS template, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer) SELECT template, '0' AS top, CAST(1 AS BIGINT) AS n FROM t UNION ALL SELECT template, '1', 1 FROM t UNION ALL SELECT template, '2', 1 + 3 * n FROM t""")
+def tree_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of the subtree below each element at the top, by labels of ancestors."""
+    from .tree_queries import customer_templates
+
+    nodes = tree.flatten(customer_templates(spark, sf_dir))
+    below = tree.subtrees(nodes, nodes.where("depth = 0").select("template", F.col("sort").alias("top")))
+    return below.groupBy("template", F.element_at("top", 1)["ord"].cast("string").alias("top")).agg(F.count(F.lit(1)).alias("n"))

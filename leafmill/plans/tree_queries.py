@@ -44,7 +44,7 @@ def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT template, 'Name' AS path, 'Customer' AS semantic_label, '[1]' AS cardinality, CAST(NULL AS VARCHAR) AS list_type, CAST(NULL AS BIGINT) AS item_count FROM c
   UNION ALL SELECT template, 'Segment', NULL, '[1]', NULL, NULL FROM c UNION ALL SELECT template, 'Orders', NULL, '[1..*]', 'SubmodelElementCollection', n FROM c""")
 def tree_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = tree.preview(tree.flatten(customer_templates(spark, sf_dir)))
+    shown = tree.previewed(customer_templates(spark, sf_dir))
     return shown.select("template", "path", "semantic_label", "cardinality", "list_type", F.col("item_count").cast("long").alias("item_count"))
 
 

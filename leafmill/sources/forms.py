@@ -5,49 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..landing import dealt, walk
 from ..operators import tree
 
-#: Recursion steps, one a level of the forms.
-LEVELS = 400
-
-_NAMED = """transform(map_entries(coalesce(try_cast(try_variant_get(v, '$.{role}', 'variant') AS map<string, variant>), map())),
-  (e, i) -> named_struct('role', '{role}', 'ord', i, 'name', e.key, 'v', e.value))"""
-_LISTED = """transform(coalesce(try_variant_get(v, '$.{role}', 'array<variant>'), array()),
-  (x, i) -> named_struct('role', '{role}', 'ord', i, 'name', concat('[', i, ']'), 'v', x))"""
-_FLATTEN = """
-WITH RECURSIVE t(submission_id, template, path, parent_path, role, ord, depth, v) MAX RECURSION LEVEL {levels} AS (
-  SELECT submission_id, template, '', CAST(NULL AS STRING), 'root', 0, -1, try_parse_json(coalesce(form, '')) FROM {{src}}
-  UNION ALL
-  SELECT submission_id, template, CASE WHEN c.role = 'items' OR path = '' THEN concat(path, c.name) ELSE concat(path, '.', c.name) END,
-    path, c.role, c.ord, depth + 1, c.v
-  FROM (SELECT *, explode(concat({children})) AS c FROM t WHERE depth < {levels} - 3)
-)
-SELECT * FROM t
-"""
-
-
-def flatten(submissions: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """From (submission_id, template, form): one row a form node, the root (path '') included.
-
-    ``present`` are the node's keys: a key that is there with null differs from one that is not. value_raw is text,
-    value_type its JSON type (BIGINT, DOUBLE or DECIMAL, STRING, BOOLEAN, ARRAY<..>, OBJECT<..>). A form is parsed once; of
-    one deeper than the levels the nodes beyond are left out."""
-    children = ", ".join([_NAMED.format(role="elements"), _NAMED.format(role="statements"), _LISTED.format(role="items"), _LISTED.format(role="annotations")])
-    src = submissions.select("submission_id", F.col("template").cast("string").alias("template"), F.col("form").cast("string").alias("form"))
-    scalar = lambda name: F.try_variant_get("v", f"$.{name}", "string")
-    fields = (
-        "submission_id", "template", "path", "parent_path", "role", "ord", "depth",
-        F.expr("coalesce(map_keys(try_cast(v AS map<string, variant>)), array())").alias("present"),
-        scalar("value").alias("value_raw"), json_type("value").alias("value_type"), scalar("min").alias("min_raw"), scalar("max").alias("max_raw"),
-        json_type("min").alias("min_type"), json_type("max").alias("max_type"),
-        scalar("contentType").alias("content_type"), scalar("globalAssetId").alias("global_asset_id"), scalar("first").alias("first"), scalar("second").alias("second"),
-        F.expr("size(try_variant_get(v, '$.items', 'array<variant>'))").alias("n_items"),
+_KID = "struct<role: string, ord: int, name: string, step: string, v: variant>"
+_NAMED = """transform(map_entries(coalesce(try_cast(try_element_at(m, '{role}') AS map<string, variant>), map())),
+  (e, i) -> named_struct('role', '{role}', 'ord', i, 'name', e.key, 'step', concat('{sign}', e.key), 'v', e.value))"""
+_LISTED = """transform(coalesce(try_cast(try_element_at(m, '{role}') AS array<variant>), array()),
+  (x, i) -> named_struct('role', '{role}', 'ord', i, 'name', concat('[', i, ']'), 'step', concat('{sign}', i), 'v', x))"""
+_KIDS = "concat({})".format(", ".join([_NAMED.format(role="elements", sign="."), _NAMED.format(role="statements", sign=":"), _LISTED.format(role="items", sign="["), _LISTED.format(role="annotations", sign="@")]))
+
+
+def flatten(submissions: DataFrame) -> DataFrame:
+    """From (submission_id, template, form): one row a form node, the root (path '') included, of any depth.
+
+    ``steps`` is the node's typed label, as ``operators.tree`` has it: names and places a level, whatever characters a name
+    has; ``path`` is text to show. ``present`` are the node's keys: a key that is there with null differs from one that is not.
+    value_raw is text, value_type its JSON type (BIGINT, DOUBLE or DECIMAL, STRING, BOOLEAN, ARRAY<..>, OBJECT<..>). A null or
+    blank form is an empty one; the root of one that cannot be read has an ``error``."""
+    src = dealt(submissions.select("submission_id", F.col("template").cast("string").alias("template"), F.coalesce(F.col("form").cast("string"), F.lit("")).alias("form"))).withColumn("v", F.expr("try_parse_json(form)"))
+    top = src.select(
+        "submission_id", "template", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_path"), F.expr("CAST(array() AS array<string>)").alias("steps"), F.lit("root").alias("role"), F.lit(0).alias("ord"), F.lit(-1).alias("depth"),
+        F.expr(f"CASE WHEN v IS NULL AND trim(form) <> '' THEN '{tree.UNREADABLE}' END").alias("error"), "v",
     )
-    return tree.recursive(src, _FLATTEN.format(levels=levels, children=children), fields)
+
+    def rows(at: DataFrame) -> DataFrame:
+        at = at.withColumn("m", F.expr("try_cast(v AS map<string, variant>)"))
+        scalar = lambda name: F.expr(f"try_cast(try_element_at(m, '{name}') AS string)")
+        return at.select(
+            "submission_id", "template", "path", "parent_path", "steps", "role", "ord", "depth", F.expr("coalesce(map_keys(m), array())").alias("present"),
+            scalar("value").alias("value_raw"), json_type("value").alias("value_type"), scalar("min").alias("min_raw"), scalar("max").alias("max_raw"),
+            json_type("min").alias("min_type"), json_type("max").alias("max_type"),
+            scalar("contentType").alias("content_type"), scalar("globalAssetId").alias("global_asset_id"), scalar("first").alias("first"), scalar("second").alias("second"),
+            F.expr("size(try_cast(try_element_at(m, 'items') AS array<variant>))").alias("n_items"), "error",
+            F.expr(f"CASE WHEN m IS NULL THEN CAST(array() AS array<{_KID}>) ELSE {_KIDS} END").alias("kids"),
+        )
+
+    def below(level: DataFrame) -> DataFrame:
+        each = level.select("submission_id", "template", "path", "steps", "depth", F.explode_outer("kids").alias("c")).where("c IS NOT NULL")  # outer: else Spark filters by the kids' number first, and makes them twice
+        path = F.expr("CASE WHEN c.role = 'items' OR path = '' THEN concat(path, c.name) ELSE concat(path, '.', c.name) END")
+        return rows(each.select("submission_id", "template", path.alias("path"), F.col("path").alias("parent_path"), F.array_append("steps", F.col("c.step")).alias("steps"), "c.role", "c.ord", (F.col("depth") + 1).alias("depth"), F.lit(None).cast("string").alias("error"), F.col("c.v").alias("v")))
+
+    return walk(rows(top), below, "form")
 
 
 def json_type(name: str) -> Column:
-    return F.expr(f"schema_of_variant(try_variant_get(v, '$.{name}', 'variant'))")
+    return F.expr(f"schema_of_variant(try_element_at(m, '{name}'))")
 
 
 def language_entries(json: Column) -> Column:

@@ -30,7 +30,9 @@ def test_renest_is_the_inverse(spark):
 
 def test_bad_documents_give_no_rows(spark):
     docs = spark.createDataFrame([("a", None), ("b", "not json"), ("c", "{}"), ("d", "")], "template string, doc string")
-    assert tree.flatten(docs).count() == 0
+    nodes = tree.flatten(docs)
+    assert nodes.where("error IS NULL").count() == 0
+    assert [(r.template, r.error) for r in nodes.collect()] == [("b", tree.UNREADABLE)]  # null and blank ones are no documents at all
 
 
 def test_preview_cuts_by_depth_and_counts(spark):
@@ -149,3 +151,53 @@ def test_empty_tables(spark):
     nodes, subs = tree.flatten(templates(spark)), submissions(spark, {"s": GOOD}).where("false")
     assert validate.run(nodes, forms.flatten(subs)).count() == 0 and hydrate.merge(subs, nodes, forms.flatten(subs)).count() == 0
     assert hydrate.merge(submissions(spark, {"s": GOOD}), nodes.where("false"), forms.flatten(submissions(spark, {"s": GOOD}))).where(F.lit(True)).count() == 0
+
+
+def test_deep_and_unreadable_documents(spark):
+    """Every level is there, or the document is one row with an error, in trees, forms, findings and results."""
+
+    def nested(n):
+        doc = {"idShort": "n", "modelType": "Property", "value": "x"}
+        for _ in range(n - 1):
+            doc = {"idShort": "n", "modelType": "SubmodelElementCollection", "elements": [doc]}
+        return json.dumps({"elements": [doc]})
+
+    docs = spark.createDataFrame([("ok", nested(12)), ("far", nested(600))], "template string, doc string")
+    nodes = tree.flatten(docs)
+    assert nodes.where("template = 'ok'").count() == 12 and [(r.template, r.error) for r in tree.unreadable(nodes).collect()] == [("far", tree.UNREADABLE)]
+    form = lambda n: '{"elements":{"n":' * n + '{"value":"y"}' + "}}" * n
+    subs = spark.createDataFrame([("a", "ok", form(12)), ("b", "ok", form(600)), ("c", "far", form(1)), ("d", "ok", "{")], "submission_id string, template string, form string")
+    flat = forms.flatten(subs)
+    assert {r.submission_id: (r.d, r.e) for r in flat.groupBy("submission_id").agg(F.max("depth").alias("d"), F.max("error").alias("e")).collect()} == {"a": (11, None), "b": (-1, tree.UNREADABLE), "c": (0, None), "d": (-1, tree.UNREADABLE)}
+    found = {(r.submission_id, r.code, r.message) for r in validate.run(nodes, flat).collect()}
+    assert found == {("b", "unreadable", "Form cannot be read"), ("c", "unreadable", "Template cannot be read"), ("d", "unreadable", "Form cannot be read")}
+    done = {r.submission_id: (r.doc, r.error) for r in hydrate.to_documents(hydrate.merge(subs, nodes, flat)).collect()}
+    assert '"value":"y"' in done["a"][0] and done["a"][1] is None and all(done[k][0] is None and done[k][1] for k in "bcd")
+
+
+def test_labels_tell_nodes_apart(spark):
+    twins = {"elements": [{"idShort": "a", "modelType": "Property", "value": "1"}, {"idShort": "a", "modelType": "Property", "value": "2"}, {"modelType": "Property", "value": "3"}, {"idShort": "[2]", "modelType": "Property", "value": "4"}]}
+    docs = spark.createDataFrame([("t", json.dumps(twins))], "template string, doc string")
+    nodes = tree.flatten(docs)
+    assert json.loads(tree.renest(nodes).first().doc) == twins and nodes.select("sort").distinct().count() == 4
+    assert [tuple(r.steps) for r in nodes.orderBy("sort").collect()] == [(".a",), (".a",), ("#2",), (".[2]",)]
+    both = nodes.alias("x").join(tree.flatten(templates(spark)).alias("y"), F.lit(True))
+    assert both.where(tree.is_below(F.col("x.sort"), F.col("x.sort"))).count() == 0
+    whole = tree.flatten(templates(spark))
+    pairs = whole.alias("x").join(whole.alias("y"), F.expr("y.path = 'Address'")).where(tree.is_below(F.col("x.sort"), F.col("y.sort"))).select("x.path").collect()
+    assert sorted(r.path for r in pairs) == ["Address.Geo", "Address.Geo.Deep", "Address.Geo.Deep.Leaf", "Address.Geo.Lat", "Address.Street"]
+    under = tree.subtrees(whole, whole.where("path = 'Address'").select("template", F.col("sort").alias("top")))
+    assert under.count() == 6
+
+
+def test_hot_templates_are_spread(spark, monkeypatch):
+    """The join by hand: broadcast off, a hot template over several copies of its rows, equal results."""
+    from leafmill import landing
+
+    nodes, subs = tree.flatten(templates(spark)), submissions(spark, {str(i): GOOD for i in range(40)} | {"bad": with_(Serial=...)})
+    flat = forms.flatten(subs)
+    plain = sorted(map(str, validate.run(nodes, flat).collect())), sorted((r.submission_id, r.path, str(r.value)) for r in hydrate.merge(subs, nodes, flat).collect())
+    monkeypatch.setattr(landing, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(landing, "HOT", 7)
+    spread = sorted(map(str, validate.run(nodes, flat).collect())), sorted((r.submission_id, r.path, str(r.value)) for r in hydrate.merge(subs, nodes, flat).collect())
+    assert plain == spread and len(plain[0]) == 1
