@@ -2,7 +2,9 @@
 
 Two bigram models of the same order, smoothing and vocabulary: the target, counted on documents of labelled quality 1,
 and the background, counted on all documents. A document's score is the mean over its words of the loss under
-the target less the loss under the background (Moore and Lewis 2010); lower is more like the target.
+the target less the loss under the background (Moore and Lewis 2010); lower is more like the target. A document's own
+words, bigrams and end are taken out of the counts that it is scored by, so that a document of the target is scored
+like any other: by the rest of it, not by having been counted.
 
 Words and bigrams are counted exactly, by 64-bit hashes; nothing is pruned and no table has a fixed size. Texts are
 cut into blocks of about ``BLOCK`` words, coded once. Each block sends its distinct words and bigrams with their own
@@ -13,6 +15,7 @@ holds one block or one bucket, and what is gathered grows with the corpus.
 p(w | v) = (c(v, w) + MU p(w)) / (c(v) + MU);  p(w) = (c(w) + 1) / (N + D + V + 1); a document's first word has p(w). V
 is the number of distinct words of all documents, ``WORDS`` at least (a small corpus leaves room for unseen words), D the
 number of documents with words: their ends are an event as words are, so all sums to 1; a score counts the words' loss.
+For a document, c, N and D are those of all other rows (other rows of its text stay in); V is the corpus's, whatever row is scored.
 
 Defined results: a document without words has null losses; null or repeated doc_ids are passed through; without
 labels the target is empty and its model uniform; other columns are ignored; an empty table gives no rows.
@@ -104,6 +107,12 @@ def _entries(names: np.ndarray, codes: np.ndarray, n: np.ndarray) -> tuple[np.nd
     return head, mix(mix(names[first], 3) ^ names[second], 4), at
 
 
+def _own(row: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """For each place, how often its row has its key."""
+    _, back, often = np.unique(row * max(size, 1) + keys, return_inverse=True, return_counts=True)
+    return often[back]
+
+
 def _dealt(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """The buckets (ranges of hashes) that have keys, and the places of their keys in order of the hashes."""
     order = np.argsort(keys, kind="stable")
@@ -161,23 +170,26 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def finish(left, right):
         import pyarrow as pa
 
-        n, names, codes = (_unpacked(left[c][0], k) for c, k in (("n", np.int64), ("names", np.uint64), ("codes", np.int32)))
+        n, chosen, names, codes = (_unpacked(left[c][0], k) for c, k in (("n", np.int64), ("chosen", bool), ("names", np.uint64), ("codes", np.int32)))
         head, pairs, at = _entries(names, codes, n)
+        tail, row = np.flatnonzero(~head), np.repeat(np.arange(len(n)), n)
+        own_words, own_pairs = _own(row, codes, len(names)), _own(row[tail], at, len(pairs))
         got = {(k, b): i for i, (k, b) in enumerate(zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), strict=True))}
         ends = np.cumsum([0, *n])
         out, mean = [left["ids"][0].values, pa.array(n)], []
-        for c, total in zip(("target", "background"), numbers, strict=True):
+        for c, total, inside in (("target", numbers[0], chosen), ("background", numbers[1], np.ones(len(n), bool))):
             one, two = np.zeros(len(names)), np.zeros(len(pairs))
             for kind, keys, held in ((0, names, one), (1, pairs, two)):
                 for bucket, places in _dealt(keys, buckets):
                     held[places] = _unpacked(right[c][got[kind, bucket]])
-            p = ((one + 1) / (total + vocabulary))[codes]
-            tail = np.flatnonzero(~head)
-            p[tail] = (two[at] + MU * p[tail]) / (one[codes[tail - 1]] + MU)
+            counted_in = inside[row]
+            words = one[codes] - own_words * counted_in
+            p = (words + 1) / (total + vocabulary - ((n + 1) * inside)[row])
+            p[tail] = (two[at] - own_pairs * counted_in[tail] + MU * p[tail]) / (words[tail - 1] + MU)
             s = np.concatenate([[0.0], np.cumsum(-np.log(p))])
             mean.append((s[ends[1:]] - s[ends[:-1]]) / np.maximum(n, 1))
         out += [pa.array(x, mask=n == 0) for x in (*mean, mean[0] - mean[1])]
         return pa.Table.from_arrays(out, ["doc_id", "n_words", "target_loss", "background_loss", "loss_difference"])
 
-    both = rows.select("block", "ids", "n", "names", "codes").groupBy("block").cogroup(counted.drop("keys").groupBy("block"))
+    both = rows.select("block", "ids", "n", "chosen", "names", "codes").groupBy("block").cogroup(counted.drop("keys").groupBy("block"))
     return both.applyInArrow(finish, "doc_id long, n_words long, target_loss double, background_loss double, loss_difference double")

@@ -23,16 +23,26 @@ def test_lm_losses_against_python(spark):
         p = lambda w: (one[w] + 1) / (n + sum(map(bool, map(split, docs))) + lm_score.WORDS + 1)
         return lambda v, w: -math.log(p(w) if v is None else (two[v, w] + lm_score.MU * p(w)) / (one[v] + lm_score.MU))
 
-    target, background = model([t for d, t in rows if d == 1]), model([t for _, t in rows])
     for r in got:
-        for d, t in rows:
+        for i, (d, t) in enumerate(rows):
             if r.doc_id == d and r.n_words == len(split(t)) > 0:
-                w = split(t)
+                w, rest = split(t), rows[:i] + rows[i + 1 :]  # its own counts are left out
+                target, background = model([t for d, t in rest if d == 1]), model([t for _, t in rest])
                 a, b = (sum(m(*x) for x in zip([None, *w], w, strict=False)) / len(w) for m in (target, background))
                 assert (r.target_loss, r.background_loss, r.loss_difference) == pytest.approx((a, b, a - b), abs=1e-5)
     assert lm_score.score(frame(spark, []), labels).count() == 0 and lm_score.score(frame(spark, rows), labels.where("false")).count() == len(rows)
 
 
+def test_lm_scores_likeness_not_membership(spark):
+    """Labels drawn for no reason in the texts: both groups score alike."""
+    rng = random.Random(11)
+    rows = [(d, " ".join(f"w{rng.randrange(3000)}" for _ in range(200))) for d in range(400)]
+    labels = spark.createDataFrame([(d, int(d < 40)) for d in range(400)], "doc_id long, quality int")
+    got = {r.doc_id: r.loss_difference for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    inside, outside = [got[d] for d in range(40)], [got[d] for d in range(40, 400)]
+    assert abs(np.mean(inside) - np.mean(outside)) < 0.1 and min(inside) < np.mean(outside) < max(inside)
+
+
 def test_lm_counts_every_word_and_pair_apart(spark):
     """More distinct words and bigrams than any table of a fixed size should hold."""
     rows = [(d, " ".join(f"w{(d * 9000 + i) % 300_000} b{i % 7}" for i in range(10_000))) for d in range(34)]
@@ -45,9 +55,12 @@ def test_lm_counts_every_word_and_pair_apart(spark):
         models.append((one, two, sum(one.values()), len(of)))
     for d, t in rows:
         w = t.split()
-        for (one, two, n, docs), loss in zip(models, (got[d].target_loss, got[d].background_loss), strict=True):
-            p = [(one[x] + 1) / (n + docs + size + 1) for x in w]
-            q = p[:1] + [(two[v, x] + lm_score.MU * y) / (one[v] + lm_score.MU) for v, x, y in zip(w, w[1:], p[1:], strict=False)]
+        mine, pairs = Counter(w), Counter(zip(w, w[1:], strict=False))
+        for k, ((one, two, n, docs), loss) in enumerate(zip(models, (got[d].target_loss, got[d].background_loss), strict=True)):
+            out = k or d % 3 == 0
+            c1, c2 = (lambda x: one[x] - mine[x] * out), (lambda v, x: two[v, x] - pairs[v, x] * out)
+            p = [(c1(x) + 1) / (n + docs - (len(w) + 1) * out + size + 1) for x in w]
+            q = p[:1] + [(c2(v, x) + lm_score.MU * y) / (c1(v) + lm_score.MU) for v, x, y in zip(w, w[1:], p[1:], strict=False)]
             assert max(q) <= 1 and loss == pytest.approx(-sum(map(math.log, q)) / len(q), abs=1e-9)
 
 
@@ -86,15 +99,14 @@ def test_classifier_without_labels(spark):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """Over the vocabulary and the end of a document, after any word: words of one document each ask for one of them."""
-    rows = [(1, "a b a c"), (2, "b a"), (3, "c")]
-    got = {r.doc_id: math.exp(-r.background_loss * 2) for r in lm_score.score(spark.createDataFrame(rows + [(10 + i, f"a {w}") for i, w in enumerate("abc")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).collect() if r.doc_id >= 10}
-    one = Counter("abac" "ba" "c" "aa" "ab" "ac")
-    n, d, v = sum(one.values()), 6, lm_score.WORDS
+    """Over the vocabulary and the end of a document, after any word: a row asks for one of them, and is scored by the others."""
+    rows, none = [(1, "a b a c"), (2, "b a"), (3, "c")], spark.createDataFrame([], "doc_id long, quality int")
+    asked = lambda w: lm_score.score(spark.createDataFrame([*rows, (10, f"a {w}")], "doc_id long, text string"), none).where("doc_id = 10").first().background_loss
+    one = Counter("abac" "ba" "c")
+    n, d, v = sum(one.values()), 3, lm_score.WORDS
     p = lambda c: (c + 1) / (n + d + v + 1)
-    seen = sum(x / p(one["a"]) for x in got.values())  # p(w | a) of the three words
-    ends = 1 + 1  # documents that end in a: 2 and "a a"
-    rest = (ends + lm_score.MU * (p(d) + (v - 3) * p(0))) / (one["a"] + lm_score.MU)
+    seen = sum(math.exp(-asked(w) * 2) / p(one["a"]) for w in "abc")  # p(w | a) of the three words
+    rest = (1 + lm_score.MU * (p(d) + (v - 3) * p(0))) / (one["a"] + lm_score.MU)  # one document ends in a
     assert seen + rest == pytest.approx(1, abs=1e-9)
 
 
