@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 A text's tokens are words, numbers and unit signs. Numbers, capitalised words (names; not function words, which open
-sentences) and units after a number become typed placeholders, other words are lower-cased: the template. Windows of
+sentences, and not words after an article or a number, which are common nouns where those are capitalised) and units
+after a number become typed placeholders, other words are lower-cased: the template. Windows of
 ``WINDOW`` template tokens are hashed and hash-joined to the benchmark's, and in matching windows the slots are
 compared: one benchmark value should always meet the same document value, and the other way round, over all windows
 that document and item share. Where they contradict, equal values win, then the pairing met at most places of the
@@ -52,6 +53,12 @@ FUNCTION_WORDS = (
     "Is Are Was Were Do Does Did Has Have Had Can Could Will Would Should May Might There Then And Or But So As After Before While Each Every All Both One Let Given Not No"
 ).split()
 
+#: Articles, and prepositions that hold one, of four languages. A capitalised word after one is a noun, not a name: German has them all so.
+ARTICLES = (
+    "the a an der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner am im zum zur vom beim ins ans "
+    "le la les un une du des au aux el los las una unos unas del al"
+).split()
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -62,8 +69,10 @@ def _is_number(x: Column) -> Column:
     return F.when(x < "a", (x >= "0") & (x < ":")).otherwise((x >= "\x80") & x.rlike(r"^\p{N}"))
 
 
-def _is_name(x: Column) -> Column:
-    return (x >= "A") & ((x < "[") | (x >= "\x80")) & x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]") & ~x.isin(FUNCTION_WORDS)
+def _is_name(x: Column, before: Column) -> Column:
+    """Capitalised, and no function word; ``before``, the word before it, does not tell that it is a noun."""
+    noun = F.coalesce(_is_number(before) | F.lower(before).isin(ARTICLES), F.lit(False))
+    return (x >= "A") & ((x < "[") | (x >= "\x80")) & x.rlike(r"^\p{Lu}[\p{Ll}\p{M}]") & ~x.isin(FUNCTION_WORDS) & ~noun
 
 
 def template(raw: Column) -> Column:
@@ -71,7 +80,7 @@ def template(raw: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         unit = _is_number(F.get(raw, i - 1)) & F.lower(x).isin(UNITS)
-        return F.when(_is_number(x), NUMBER).when(unit, UNIT).when(_is_name(x), NAME).otherwise(F.lower(x))
+        return F.when(_is_number(x), NUMBER).when(unit, UNIT).when(_is_name(x, F.get(raw, i - 1)), NAME).otherwise(F.lower(x))
 
     return F.transform(raw, one)
 

@@ -24,7 +24,7 @@ def canonical(raw):
             out.append("<n>")
         elif x.lower() in decontam.UNITS and i and regex.match(r"\p{N}", raw[i - 1]):
             out.append("<u>")
-        elif regex.match(r"\p{Lu}[\p{Ll}\p{M}]", x) and x not in decontam.FUNCTION_WORDS:
+        elif regex.match(r"\p{Lu}[\p{Ll}\p{M}]", x) and x not in decontam.FUNCTION_WORDS and not (i and (regex.match(r"\p{N}", raw[i - 1]) or raw[i - 1].lower() in decontam.ARTICLES)):
             out.append("<c>")
         else:
             out.append(x.lower())
@@ -196,6 +196,21 @@ def test_recall_on_questions_asked_anew(spark):
     assert len({x for x in got if x[0] == x[1]}) >= 90 and not any(d >= 1000 for d, _ in got)
 
 
+def test_capitalised_nouns_are_no_names(spark):
+    """Unrelated German sentences of one pattern are clean; questions asked anew with other names and numbers are found in four languages."""
+    nouns = "Hund Morgen Straße Baum Haus Vater Abend Wiese Mond Wald Tisch Garten Berg Fluss Himmel Vogel Brief Zug Wagen Stein".split()
+    put = lambda w: f"Der alte {w[0]} lief am {w[1]} über die {w[2]} und sah den {w[3]} hinter dem {w[4]} stehen"
+    item = put(nouns[:5])
+    rng = random.Random(9)
+    rows = [(i, put(rng.sample(nouns[5:], 5))) for i in range(1000)]
+    rows += [(2000, "Wenn Peter Braun 7 Äpfel an Carl gibt, wie viele von den Äpfeln hat er dann noch übrig, fragte sie"), (2001, "If Mary gives 7 apples to Carl and then eats some, how many apples are there left at the end"),
+             (2002, "Si Marie donne 7 pommes à Luc et en mange ensuite, combien de pommes lui restent à la fin du jour"), (2003, "Si Marta le da 7 manzanas a Luis y luego come algunas, cuántas manzanas le quedan al final del día"), (2004, "x " + item)]
+    items = [(1, item), (2, "Wenn Anna Schmidt 3 Äpfel an Bob gibt, wie viele von den Äpfeln hat er dann noch übrig, fragte sie"), (3, "If Anna gives 3 apples to Bob and then eats some, how many apples are there left at the end"),
+             (4, "Si Anne donne 3 pommes à Paul et en mange ensuite, combien de pommes lui restent à la fin du jour"), (5, "Si Ana le da 3 manzanas a Juan y luego come algunas, cuántas manzanas le quedan al final del día")]
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(2000, 2), (2001, 3), (2002, 4), (2003, 5), (2004, 1)]
+
+
 def test_template_types(spark):
     row = spark.createDataFrame([("Anna paid 3.5 km and 7 euros, don't run m. What",)], "text string").select(decontam.tokens(F.col("text")).alias("raw"))
     got = row.select(decontam.template(F.col("raw")).alias("t")).first().t
