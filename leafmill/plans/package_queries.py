@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..landing import land
-from ..operators import tree
+from ..operators import hydrate, tree
 from ..sinks import packages as sink
 from ..sinks import report
+from ..sources import forms
 from ..sources import packages as source
 from .registry import SQL, query, table
 from .tree_queries import customer_templates
@@ -91,3 +92,58 @@ def export_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.when(F.col("template").cast("long") % 3 == 0, "aasx").when(F.col("template").cast("long") % 3 == 1, "json").otherwise("pdf")
     done = sink.verify(customer_templates(spark, sf_dir).select("template", "doc", F.col("template").alias("name"), form.alias("format")))
     return done.select(F.col("template").cast("long").alias("c_custkey"), "ok", "error")
+
+
+@query(SQL["tree_flatten"])
+def package_xml_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's document as an XML part that is made in DataFrame functions, zipped, read and flattened again."""
+    docs = customer_templates(spark, sf_dir).select(F.col("template").alias("package"), F.lit("/made").alias("part"), F.lit(0).alias("ord"), F.lit("submodel").alias("kind"), F.concat(F.lit("urn:"), "template").alias("id"), F.lit(None).cast("string").alias("id_short"), "doc", "doc", F.lit(None).cast("string").alias("error"))
+    found = land(docs.toDF("package", "part", "ord", "kind", "id", "id_short", "doc", "source", "error"), "made")
+    none = source.parts(found.select("package", F.lit(b"").alias("content")).limit(0))
+    again = source.objects(land(source.parts(sink.packages(found, none, "xml")), "parts")).where("kind = 'submodel'")
+    nodes = tree.flatten(again.select(F.col("package").alias("template"), "doc"))
+    return nodes.select("template", "path", "parent_path", "role", F.col("depth").cast("long").alias("depth"), "model_type", tree.field("value").alias("value"))
+
+
+def _rich_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(package, env, content): for each customer an environment with fields our trees do not know: chains of keys, ids of values and
+    list elements, qualifiers with semantic ids, fields of no format."""
+    name = F.regexp_replace(F.to_json(F.array("c_name")), r"^\[|\]$", "")
+    chain = lambda *keys: '{"type":"ModelReference","keys":[' + ",".join('{"type":"%s","value":"%s"}' % k for k in keys) + "]}"
+    two = chain(("Submodel", "urn:a"), ("Property", "p"))
+    env = F.concat(
+        F.lit('{"submodels":[{"modelType":"Submodel","id":"urn:s","semanticId":' + two + ',"own":{"k":[1,2.5]},"submodelElements":[{"idShort":"Name","modelType":"Property","valueType":"xs:string","valueId":' + two + ',"qualifiers":[{"type":"Q","valueType":"xs:string","value":"v","semanticId":' + two + '}],"value":'), name,
+        F.lit('},{"idShort":"Link","modelType":"RelationshipElement","first":' + two + ',"second":' + two + '},{"idShort":"Ref","modelType":"ReferenceElement","value":' + two + '},{"idShort":"List","modelType":"SubmodelElementList","semanticIdListElement":' + two + ',"orderRelevant":false,"typeValueListElement":"Property","value":[{"modelType":"Property","valueType":"xs:double","value":"1.50"}]}]}],"conceptDescriptions":[{"modelType":"ConceptDescription","id":"urn:'), "c_mktsegment",
+        F.lit('","isCaseOf":[' + two + "]}]}"),
+    )
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("package"), env.alias("env"))
+    files = base.select(F.col("package").alias("batch"), F.lit("aasx/data.json").alias("filename"), F.encode("env", "UTF-8").alias("content"))
+    return base.join(sink.archive(files).select(F.col("batch").alias("package"), F.col("archive").alias("content")), "package")
+
+
+@query("SELECT c_custkey, true AS json_same, true AS xml_same FROM customer")
+def package_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole stores written as JSON, and as XML, and read again: nothing that came is lost or changed."""
+    packages = land(_rich_packages(spark, sf_dir), "packages")
+    parts = land(source.parts(packages.select("package", "content")), "parts")
+    found = land(source.objects(parts), "objects")
+    as_xml = land(source.parts(sink.packages(found, parts, "xml")), "parts")
+    plain = lambda c: F.expr(f"to_json(try_parse_json({c}))")  # noqa: E731  keys in order
+    stores = packages.join(sink.stores(found).withColumnRenamed("env", "j"), "package").join(sink.stores(source.objects(as_xml)).withColumnRenamed("env", "x"), "package")
+    # XML has texts only: the numbers of a field of no format come back as such.
+    texts = F.replace("env", F.lit('"k":[1,2.5]'), F.lit('"k":{"k":"2.5"}'))
+    return stores.select(F.col("package").cast("long").alias("c_custkey"), (plain("env") == plain("j")).alias("json_same"), (F.expr("to_json(try_parse_json(x))") == F.to_json(F.try_parse_json(texts))).alias("xml_same"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'p' END AS last_key, 'urn:a' AS first_key, 'p' AS value_id, 'p' AS qualifier_id, '1.50' AS item FROM customer""")
+def package_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms merged into packages that were read: what a form has is edited in place, all else is as it came."""
+    packages = land(_rich_packages(spark, sf_dir), "packages")
+    docs = land(source.objects(source.parts(packages.select("package", "content"))).where("kind = 'submodel'").select(F.col("package").alias("template"), "doc"), "objects")
+    k, said = F.col("c_custkey"), F.regexp_replace(F.to_json(F.array("c_mktsegment")), r"^\[|\]$", "")
+    form = F.concat(F.lit('{"elements":{'), F.concat_ws(",", F.when(k % 3 == 0, F.concat(F.lit('"Name":{"value":'), said, F.lit("}"))), F.when(k % 2 == 0, '"Ref":{"value":"new"}')), F.lit("}}"))
+    subs = table(spark, sf_dir, "customer").select(k.cast("string").alias("submission_id"), k.cast("string").alias("template"), form.alias("form"))
+    done = hydrate.to_documents(hydrate.merge(subs, tree.flatten(docs), forms.flatten(subs)))
+    out = done.withColumn("j", sink.exchange_json("doc", "template").cast("string"))
+    at = lambda p: F.get_json_object("j", f"$.submodels[0].submodelElements{p}")
+    return out.select(F.col("submission_id").cast("long").alias("c_custkey"), at("[0].value").alias("name"), at("[2].value.keys[1].value").alias("last_key"), at("[2].value.keys[0].value").alias("first_key"), at("[0].valueId.keys[1].value").alias("value_id"), at("[0].qualifiers[0].semanticId.keys[1].value").alias("qualifier_id"), at("[3].value[0].value").alias("item"))
