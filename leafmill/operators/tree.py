@@ -195,3 +195,26 @@ def default_form(nodes: DataFrame) -> DataFrame:
         "template", "path", "sort", "model_type", value.alias("value"), blank("contentType", "File").alias("content_type"),
         blank("min", "Range").alias("min"), blank("max", "Range").alias("max"), blank("globalAssetId", ENTITY).alias("global_asset_id"),
     )
+
+
+def default_documents(nodes: DataFrame) -> DataFrame:
+    """(template, form): the nested form that an empty one starts as: maps by name, lists by place, each kind's fields with the
+    template's values or ''. Of two siblings of one name the later counts, as keys of a map do; nodes without a name have no key."""
+    from ..sources import forms
+
+    kind = F.col("model_type")
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    text = lambda k: F.concat(F.lit(f'"{k}":'), quoted(F.coalesce(field(k), F.lit(""))))
+    told = F.concat(F.lit('"value":'), F.coalesce(field("value"), F.lit("{}")))
+    body = (
+        F.when(kind == "MultiLanguageProperty", told).when(kind == COLLECTION, F.when(F.col("n_elements") == 0, '"elements":{}').otherwise("")).when(kind == LIST, F.when(F.col("n_items") == 0, '"items":[]').otherwise(""))
+        .when(kind == "File", F.concat_ws(",", text("value"), text("contentType"))).when(kind == "Range", F.concat_ws(",", text("min"), text("max")))
+        .when(kind == ENTITY, F.concat_ws(",", text("globalAssetId"), F.when(~F.coalesce(F.col("held"), F.lit(False)), '"statements":{}'))).otherwise(text("value"))
+    )
+    held = nodes.where("role = 'statements'").select("template", parent("sort").alias("sort"), F.lit(True).alias("held")).distinct()
+    seen = nodes.where("error IS NULL").where(F.forall("steps", lambda s: s.rlike(r"^[.:\[].")))  # what a form can hold
+    best = seen.groupBy("template", "steps").agg(F.max("sort").alias("sort"))  # the later of two of one name
+    kept = seen.join(best, ["template", "steps", "sort"]).join(held, ["template", "sort"], "left")
+    rows = kept.select("template", "steps", "role", "ord", F.concat(F.lit("{"), body, F.lit("}")).alias("own"))
+    tops = nodes.where("error IS NULL").select("template").distinct().select("template", F.expr("CAST(array() AS array<string>)").alias("steps"), F.lit("root").alias("role"), F.lit(0).alias("ord"), F.lit("{}").alias("own"))
+    return forms.renest(land(rows.unionByName(tops), "defaults"), ("template",))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cardinality, language, references
-from ..operators import hydrate, tree, validate
+from ..operators import hydrate, tree, typing, validate
 from ..sources import forms
 from .registry import query, table
 
@@ -312,3 +312,56 @@ def tree_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = tree.flatten(customer_templates(spark, sf_dir))
     below = tree.subtrees(nodes, nodes.where("depth = 0").select("template", F.col("sort").alias("top")))
     return below.groupBy("template", F.element_at("top", 1)["ord"].cast("string").alias("top")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: A template with the types that a client tells apart, an entity and a list of numbers.
+CLIENT = {
+    "elements": [
+        {"idShort": "N", "modelType": "Property", "valueType": "xs:int", "cardinality": "[1]"}, {"idShort": "O", "modelType": "Property", "valueType": "xs:double", "cardinality": "[0..1]"}, {"idShort": "B", "modelType": "Property", "valueType": "xs:boolean", "cardinality": "[0..1]"},
+        {"idShort": "E", "modelType": "Entity", "cardinality": "[0..1]", "statements": [{"idShort": "S", "modelType": "Property", "valueType": "xs:string", "cardinality": "[1]"}]},
+        {"idShort": "L", "modelType": "SubmodelElementList", "cardinality": "[1..*]", "items": [{"modelType": "Property", "valueType": "xs:integer", "cardinality": "[1]"}]},
+        {"idShort": "F", "modelType": "File", "cardinality": "[1]"}, {"idShort": "C", "modelType": "Capability", "cardinality": "[1]"},
+    ]
+}
+
+
+def client_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as forms: values by the part's size, as numbers, texts, booleans and nulls."""
+    k, part = F.col("p_size"), lambda name, x: F.concat(F.lit(f'"{name}":'), x)
+    n = F.when(k % 7 == 0, '{"value":"12.7"}').when(k % 7 == 1, '{"value":""}').when(k % 7 == 2, '{"value":" 0x1F "}').when(k % 7 == 3, '{"value":null}').when(k % 7 == 4, "{}").when(k % 7 == 5, F.concat(F.lit('{"value":"'), k.cast("string"), F.lit('"}'))).otherwise('{"value":true}')
+    o = F.when(k % 3 == 0, "{}").when(k % 3 == 1, '{"value":"1e3"}').otherwise('{"value":"x"}')
+    b = F.when(k % 2 == 0, '{"value":"true"}').otherwise('{"value":false}')
+    e = F.when(k % 5 == 0, '{"globalAssetId":"","statements":{}}').when(k % 5 == 1, '{"globalAssetId":5,"statements":{"S":{"value":""}}}').when(k % 5 == 2, '{"globalAssetId":"a"}').otherwise('{"statements":{"S":{"value":1}}}')
+    items = F.when(k % 4 == 0, '{"items":[]}').when(k % 4 == 1, '{"items":[{"value":"1"},{"value":"a"}]}').when(k % 4 == 2, '{"items":{}}')
+    f = F.when(k % 6 == 0, '{"value":""}').otherwise('{"value":"/f","contentType":"a/b"}')
+    form = F.concat(F.lit('{"elements":{'), F.concat_ws(",", part("N", n), part("O", o), part("B", b), part("E", e), part("L", items), part("F", f)), F.lit("}}"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("submission_id"), F.lit("client").alias("template"), form.alias("form"))
+
+
+@query("""SELECT p_partkey, 'N' AS field, 'value' AS part, 'invalid_type' AS code FROM part WHERE p_size % 7 IN (0, 4) UNION ALL SELECT p_partkey, 'O', 'value', 'invalid_type' FROM part WHERE p_size % 3 = 2
+  UNION ALL SELECT p_partkey, 'B', 'value', 'invalid_type' FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'E.S', '', 'required' FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, 'E', 'globalAssetId', 'invalid_type' FROM part WHERE p_size % 5 = 1
+  UNION ALL SELECT p_partkey, 'E', 'statements', 'invalid_type' FROM part WHERE p_size % 5 = 2 UNION ALL SELECT p_partkey, 'E.S', 'value', 'invalid_type' FROM part WHERE p_size % 5 > 2
+  UNION ALL SELECT p_partkey, 'L', 'items', CASE WHEN p_size % 4 = 0 THEN 'too_small' ELSE 'invalid_type' END FROM part WHERE p_size % 4 IN (0, 2) UNION ALL SELECT p_partkey, 'L[1]', 'value', 'invalid_type' FROM part WHERE p_size % 4 = 1
+  UNION ALL SELECT p_partkey, 'L', '', 'required' FROM part WHERE p_size % 4 = 3 UNION ALL SELECT p_partkey, 'F', 'value', 'invalid_type' FROM part WHERE p_size % 6 = 0""")
+def client_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the client refuses, in elements, statements and items: not what validation finds."""
+    found = typing.run(_flat(spark, "client", CLIENT), forms.flatten(client_submissions(spark, sf_dir), whole=True))
+    return found.select(F.col("submission_id").cast("long").alias("p_partkey"), "field", "part", "code")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS submission_id, true AS same FROM customer UNION ALL SELECT concat('p', p_partkey), true FROM part")
+def forms_renested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms taken apart and put together again, of both kinds: maps by name, lists by place."""
+    subs = submissions(spark, sf_dir).unionByName(client_submissions(spark, sf_dir).withColumn("submission_id", F.concat(F.lit("p"), "submission_id")))
+    back = forms.renest(forms.flatten(subs, whole=True)).withColumnRenamed("form", "back")
+    same = F.expr("to_json(try_parse_json(form)) = to_json(try_parse_json(back))")
+    return subs.join(back, "submission_id", "left").select("submission_id", F.coalesce(same, F.lit(False)).alias("same"))
+
+
+@query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS template, string_agg(concat('{"elements":{"Priority":{"value":"', o_orderpriority, '"},"Status":{"value":"', o_orderstatus, '"}}}'), ',' ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey)
+  SELECT CAST(c_custkey AS VARCHAR) AS template, concat('{"elements":{"Name":{"value":"', c_name, '"},"Orders":{"items":[', coalesce(x, ''), ']},"Segment":{"value":"', c_mktsegment, '"}}}') AS form FROM customer LEFT JOIN o ON CAST(c_custkey AS VARCHAR) = o.template""")
+def default_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested form that a template's editor starts with."""
+    from .tree_queries import customer_templates
+
+    return tree.default_documents(tree.flatten(customer_templates(spark, sf_dir))).select("template", F.expr("to_json(try_parse_json(form))").alias("form"))
