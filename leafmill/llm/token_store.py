@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .common import scratch_path
+from .common import Scratch, scratch_path
 from .tokens import blocks, encoder
 
 GAMMA = 2.0
@@ -297,14 +297,12 @@ def lookup(keys: DataFrame, path: str, payload: bool = False) -> DataFrame:
     """Keyed access: the documents of every distinct key of ``keys`` (doc_id), read from the shards.
 
     Keys are routed to shards by the store's key ranges: each key goes once to every shard whose range holds it, found by
-    binary search (32 bytes a shard, read by each task). Returns doc_id, start (ids of all documents before it),
+    binary search (32 bytes a shard, read by each task). There are as many reading tasks as shards that hold keys asked for.
+    Returns doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32 (of the ids as 32-bit integers) and, on request, ids. Absent keys give no row.
     """
     spark = keys.sparkSession
-    shards = manifest(spark, path).count()
     schema = ROW + (", ids array<int>" if payload else "")
-    if not shards:
-        return spark.createDataFrame([], schema)
 
     def route(batches):
         import pyarrow as pa
@@ -353,7 +351,11 @@ def lookup(keys: DataFrame, path: str, payload: bool = False) -> DataFrame:
                 cols = [names, pa.array(start + begin), pa.array(end - begin), pa.array(crc, pa.int64())] + ([pa.array(ids, pa.list_(pa.int32()))] if payload else [])
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    routed = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "shard long, key long")
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "shard long, key long")
+    routed = Scratch(spark).table(asked, "routed")
+    shards = routed.select("shard").distinct().count()
+    if not shards:
+        return spark.createDataFrame([], schema)
     # By number: sizes of keys say nothing about the ids behind them, so few keys must not be merged into one task.
     return routed.repartition(shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(read, schema)
 

@@ -101,6 +101,9 @@ def test_keys_at_the_ends_of_shards(spark, tmp_path):
     assert token_store.manifest(spark, f"{tmp_path}/c").count() > 1
     some = token_store.lookup(spark.createDataFrame([(101,), (8,), (low,), (None,)], "doc_id long"), f"{tmp_path}/c").collect()
     assert [r.doc_id for r in some if r.doc_id != low] == [None] * 40 and len(some) == 42
+    one = token_store.lookup(spark.createDataFrame([(103,)], "doc_id long"), f"{tmp_path}/c")
+    assert one.rdd.getNumPartitions() == 1 and [r.doc_id for r in one.collect()] == [103]  # a key is one task, whatever the store has
+    assert token_store.lookup(spark.createDataFrame([], "doc_id long"), f"{tmp_path}/c").count() == 0
 
 
 @pytest.mark.parametrize("length", [64, 2048])
