@@ -9,11 +9,12 @@ Banding: ``rows`` coordinates make a band key. Documents of equal shingle sets a
 doc_id stands for it. A link at similarity 0.8 shares a band but with probability (1 - 0.8**8)**64 < 8e-6.
 
 Verification never emits all pairs of a bucket. All members of a bucket are compared, on full sets, with its first
-member, the leader. Where some are not linked with it, all members of the leader's buckets are compared with a
-second one, the pivot (the member nearest to the leader). Those linked with the pivot are one component and need no
-comparison among themselves; every other pair goes through an exact prefix filter on the differences from the
-pivot (``open_candidates``), and what passes is compared on full sets. So of the pairs that share a band none is
-lost: each is compared, ruled out by sizes, or in one component.
+member, the leader. Where some are not linked with it, all members of the leader's buckets are compared with the
+group's centre: the shingles that most of some ``SAMPLE`` members have. It need not be the set of a document, and any
+set gives right results; one from the middle leaves small differences that few members share. By the triangle
+inequality all members near enough to it are linked with the nearest one, without being compared; every other pair goes
+through an exact prefix filter on the differences from the centre (``open_candidates``), and what passes is compared on full
+sets. So of the pairs that share a band none is lost: each is compared, ruled out by sizes, or in one component.
 
 Defined results: a document is a row; rows of a null doc_id cannot be named, they are never linked, have a null
 component and are kept; rows of equal doc_id and text are kept or dropped together; documents without words
@@ -34,6 +35,8 @@ from .shingles import mix, shingle_sets
 from .tokens import blocks, forget
 
 ROWS, BANDS = 8, 64
+#: Members, about, that a group's centre is taken from.
+SAMPLE = 16
 #: Bytes of text whose shingles and sketches are in memory at once.
 BLOCK = 1 << 20
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -161,12 +164,30 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp"))
 
 
-def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """g, a, p, n (size of a's set), both, either, diff (elements of only one of the two sets) of pairs (g, a, p)."""
+def centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, centre: the shingles that more than half of some members of each group (g, a, many) have, chosen by a hash."""
+    some = members.where(F.pmod(F.xxhash64("a", "g"), F.ceil(F.col("many") / SAMPLE)) == 0).select("g", "a")
+    # A group of which the hash chose none has the set of its first member.
+    some = some.union(members.groupBy("g").agg(F.min("a").alias("a"))).distinct()
+
+    @F.pandas_udf("binary")
+    def middle(lists):
+        def one(held):
+            x, often = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for h in held]), return_counts=True)
+            return x[2 * often > len(held)].tobytes()
+
+        return lists.map(one)
+
+    held = some.join(sets.select(F.col("id").alias("a"), "elements"), "a").groupBy("g").agg(F.collect_list("elements").alias("held"))
+    return held.select("g", middle("held").alias("centre"))
+
+
+def differences(members: DataFrame, middle: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, a, n (size of a's set), diff (elements of only one of a's set and the centre's) of members (g, a)."""
 
     def cut(batches):
         for b in batches:
-            sizes = [range(len(x.as_buffer()) + len(y.as_buffer())) for x, y in zip(b.column(3), b.column(4), strict=True)]
+            sizes = [range(len(x.as_buffer()) + len(y.as_buffer())) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield from (b.slice(i, j - i) for i, j in blocks(sizes, 16 * BLOCK))
 
     def run(batches):
@@ -174,40 +195,40 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         held, known = None, None
         for b in cut(batches):
-            n, both, either, diffs = [], [], [], []
-            for x, y, key in zip(b.column(3), b.column(4), b.column(2).to_pylist(), strict=True):
+            n, diffs = [], []
+            for x, y, key in zip(b.column(2), b.column(3), b.column(0).to_pylist(), strict=True):
                 if key != held:
                     held, known = key, np.frombuffer(y.as_buffer(), np.uint64)
                 own = np.frombuffer(x.as_buffer(), np.uint64)
-                d = np.setxor1d(own, known, assume_unique=True)
                 n.append(len(own))
-                both.append((len(own) + len(known) - len(d)) // 2)
-                either.append((len(own) + len(known) + len(d)) // 2)
-                diffs.append(d.view(np.int64))
+                diffs.append(np.setxor1d(own, known, assume_unique=True).view(np.int64))
             ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *diffs])))
-            longs = [pa.array(c, pa.int64()) for c in (n, both, either)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *longs, lists], ["g", "a", "p", "n", "both", "either", "diff"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), lists], ["g", "a", "n", "diff"])
 
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("xa"))
-    two = sets.select(F.col("id").alias("p"), F.col("elements").alias("xp"))
-    joined = pairs.join(one, "a").join(two, "p").select("g", "a", "p", "xa", "xp")
-    return joined.mapInArrow(run, "g long, a long, p long, n long, both long, either long, diff array<long>")
+    joined = members.join(one, "a").join(middle, "g").select("g", "a", "xa", "centre")
+    return joined.mapInArrow(run, "g long, a long, n long, diff array<long>")
 
 
 def _linked(percent: int):
     return F.col("both") * 100 >= F.col("either") * percent
 
 
+def _excess(percent: int):
+    """By how much a member's difference from the centre exceeds its share of what a link allows, in whole numbers."""
+    return F.size("diff") * (100 + percent) - F.col("n") * (100 - percent)
+
+
 def open_candidates(members: DataFrame, percent: int) -> DataFrame:
-    """a, b (a > b): pairs that may be linked, of members (g, a, n, diff, out) of groups, at least one of them ``out``.
+    """a, b (a > b): pairs that may be linked, of members (g, a, e, diff, out) of groups, at least one of them ``out``.
 
-    A prefix filter on the differences from the group's pivot. For the sizes d of two differences, n of the sets and o
-    of the differences' overlap, a link means d1 + d2 - 2 o <= rate (n1 + n2). With the excess E = d - rate n that is
-    2 o >= E1 + E2, which is above 0 unless both are linked with the pivot. So a linked pair shares an element among
+    A prefix filter on the differences from the group's centre. For the sizes d of two differences, n of the sets and o
+    of the differences' overlap, a link means d1 + d2 - 2 o <= rate (n1 + n2). With the excess E = d - rate n (``_excess``)
+    that is 2 o >= E1 + E2, which is above 0 where one is ``out``. So a linked pair shares an element among
     the first ones of both in any common order; rare elements come first, and those are few."""
-    up, down = 100 + percent, 100 - percent
-    sized = members.select("g", "a", "out", (F.size("diff") * up - F.col("n") * down).alias("e"), F.size("diff").alias("d"), "diff")
+    up = 100 + percent
+    sized = members.select("g", "a", "out", "e", F.size("diff").alias("d"), "diff")
     low = sized.groupBy("g").agg(F.min("e").alias("low"), F.min(F.when(F.col("out"), F.col("e"))).alias("low_out")).where("low_out is not null")
     each = sized.join(low, "g").select("g", "a", "out", "e", "d", "low", "low_out", F.explode("diff").alias("x"))
     often = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("f"))
@@ -230,15 +251,22 @@ def linked_classes(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     pairs = scratch.table(members.join(leaders, "key").where("id <> l").select(F.col("id").alias("a"), F.col("l").alias("b")).distinct(), "pairs")
     sets = scratch.table(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
     first = scratch.table(verified(pairs, sets), "verified").withColumn("yes", _linked(percent))
-    # Groups that are not settled by their leader: the member nearest to it is the pivot.
-    near = F.struct(1 - F.col("both") / F.col("either"), "a")
-    groups = first.groupBy("b").agg(F.count(F.lit(1)).alias("many"), F.count_if(~F.col("yes")).alias("far"), F.min_by(F.struct("a", "yes"), near).alias("pivot"))
-    groups = groups.where("far > 0 and many > 1").select("b", F.col("pivot.a").alias("p"), F.col("pivot.yes").alias("near"))
-    left = scratch.table(first.join(groups, "b").where("a <> p").select(F.col("b").alias("g"), "a", "p", (F.col("yes") & F.col("near")).alias("by_leader")), "open")
-    second = scratch.table(differences(left.select("g", "a", "p"), sets).join(left.select("g", "a", "by_leader"), ["g", "a"]), "differences").withColumn("yes", _linked(percent))
-    inside = second.select("g", "a", "n", "diff", (~(F.col("yes") | F.col("by_leader"))).alias("out"))
+    # Groups that are not settled by their leader. The leader is a member like others.
+    groups = first.groupBy("b").agg(F.count(F.lit(1)).alias("many"), F.count_if(~F.col("yes")).alias("far")).where("far > 0 and many > 1").select("b", "many")
+    left = first.join(groups, "b").select(F.col("b").alias("g"), "a", "yes", F.col("many") + 1).union(groups.select("b", "b", F.lit(True), F.col("many") + 1)).toDF("g", "a", "by_leader", "many")
+    left = scratch.table(left, "open")
+    middle = scratch.table(centres(left, sets), "centres")
+    second = differences(left.select("g", "a"), middle, sets).join(left.select("g", "a", "by_leader"), ["g", "a"]).withColumn("e", _excess(percent))
+    second = scratch.table(second, "differences")
+    # |A - B| is at most the sum of both differences from the centre: two whose excesses add up to 0 or less are linked.
+    nearest = second.groupBy("g").agg(F.min(F.struct("e", "a")).alias("c"))
+    second = second.join(nearest, "g").withColumn("core", F.col("e") + F.col("c.e") <= 0)
+    # Where one of those is linked with the leader, they and all that are linked with the leader are one component.
+    both = second.groupBy("g").agg(F.bool_or(F.col("core") & F.col("by_leader")).alias("one"))
+    second = scratch.table(second.join(both, "g").select("g", "a", "e", "diff", "core", F.col("c.a").alias("p"), (~(F.col("core") | (F.col("by_leader") & F.col("one")))).alias("out")), "placed")
+    inside = second.select("g", "a", "e", "diff", "out")
     third = scratch.table(verified(open_candidates(inside, percent), sets), "verified").withColumn("yes", _linked(percent))
-    links = first.where("yes").select("a", "b").union(second.where("yes").select("a", F.col("p").alias("b"))).union(third.where("yes").select("a", "b"))
+    links = first.where("yes").select("a", "b").union(second.where("core").select("a", F.col("p").alias("b"))).union(third.where("yes").select("a", "b"))
     if not names.isEmpty():
         for end in ("a", "b"):
             links = links.join(names.select(F.col("c").alias(end), "id"), end, "left").withColumn(end, F.coalesce("id", end)).select("a", "b")

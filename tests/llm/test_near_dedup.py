@@ -62,26 +62,51 @@ def test_against_all_pairs(spark, seed, k):
 
 
 def test_prefix_filter_loses_no_link(spark):
-    """The candidates of a group hold every linked pair with one outside member, whatever pivot is chosen."""
+    """The candidates of a group hold every linked pair with one outside member, whatever set is the centre."""
     rows = corpus(7)[:120]
     sets = {d: shingle_sets(pa.array([t]), 2)[0] for d, t in rows}
     frame = spark.createDataFrame([(d, bytearray(s.tobytes())) for d, s in sets.items()], "id long, elements binary")
-    for pivot in (rows[0][0], rows[50][0]):
-        pairs = spark.createDataFrame([(1, d, pivot) for d in sets if d != pivot], "g long, a long, p long")
-        found = near_dedup.differences(pairs, frame).withColumn("out", ~(F.col("both") * 100 >= F.col("either") * 80))
-        members = found.collect()
-        got = {(r.a, r.b) for r in near_dedup.open_candidates(found, 80).collect()}
-        out = {r.a for r in members if r.out}
-        names = [r.a for r in members]
+    members = spark.createDataFrame([(1, d, len(sets)) for d in sets], "g long, a long, many long")
+    made = bytes(near_dedup.centres(members, frame).first().centre)
+    for centre in (made, sets[rows[0][0]].tobytes(), sets[rows[50][0]].tobytes(), b""):
+        middle = spark.createDataFrame([(1, bytearray(centre))], "g long, centre binary")
+        found = near_dedup.differences(members.select("g", "a"), middle, frame).withColumn("e", near_dedup._excess(80)).collect()
+        low = min(r.e for r in found)
+        placed = spark.createDataFrame([(r.g, r.a, r.e, r["diff"], r.e + low > 0) for r in found], "g long, a long, e long, diff array<long>, out boolean")
+        got = {(r.a, r.b) for r in near_dedup.open_candidates(placed, 80).collect()}
+        out = {r.a for r in found if r.e + low > 0}
+        linked = lambda a, b: 100 * len({*sets[a].tolist()} & {*sets[b].tolist()}) >= 80 * len({*sets[a].tolist()} | {*sets[b].tolist()})
+        names = [r.a for r in found]
+        nearest = min(found, key=lambda r: (r.e, r.a)).a
         for a in names:
+            assert a in out or a == nearest or linked(a, nearest)
             for b in names:
-                if a > b and (a in out or b in out):
-                    x, y = {*sets[a].tolist()}, {*sets[b].tolist()}
-                    if 100 * len(x & y) >= 80 * len(x | y):
-                        assert (a, b) in got
+                if a > b and (a in out or b in out) and linked(a, b):
+                    assert (a, b) in got
         assert len(got) < len(names) * (len(names) - 1) / 2
 
 
+def test_a_group_of_near_copies_makes_few_candidates(spark):
+    """Copies of one text with edits of their own: what is compared grows with the copies, not with their pairs."""
+    rng, n = random.Random(6), 500
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(n):
+        w = list(base)
+        for p in rng.sample(range(60), rng.choice([0, 1, 1, 2])):
+            w[p] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    sets = [shingle_sets(pa.array([t]), 5)[0] for t in texts]
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "id long, elements binary")
+    members = spark.createDataFrame([(1, i, n) for i in range(n)], "g long, a long, many long")
+    found = near_dedup.differences(members.select("g", "a"), near_dedup.centres(members, frame), frame).withColumn("e", near_dedup._excess(80)).collect()
+    low = min(r.e for r in found)
+    placed = spark.createDataFrame([(r.g, r.a, r.e, r["diff"], r.e + low > 0) for r in found], "g long, a long, e long, diff array<long>, out boolean")
+    assert near_dedup.open_candidates(placed, 80).count() < 4 * n
+    got = near_dedup.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), 5).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute([*enumerate(texts)], 5)
+
+
 def test_defined_results(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (2, text.upper()), (None, text), (3, ""), (4, None), (5, " \n"), (6, "one"), (7, "ONE"), (2, text.upper()), (8, text + " tail"), (9, "two words")]
