@@ -52,6 +52,17 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(F.struct("*"), F.struct(*order)).alias("r")).select("r.*")
 
 
+def page_roots(items: DataFrame, base: str, order: list[Column]) -> DataFrame:
+    """name, path, url, type of the templates that a listing page names (name, path, content_type): directories only. A template's
+    root is the second part of a path below ``published/``, else the first part of the name; entries without a root are left
+    out, and of several with one root the first in ``order`` stands for all."""
+    below = F.startswith(F.coalesce("path", F.lit("")), F.lit("published/"))
+    root = F.when(below, F.split_part("path", F.lit("/"), F.lit(2))).otherwise(F.split_part(F.coalesce("name", F.lit("")), F.lit("/"), F.lit(1)))
+    found = items.where("content_type = 'directory'").withColumn("root", root).where("root <> ''")
+    path = F.concat(F.lit("published/"), "root")
+    return first_by(found, ["root"], order).select(F.col("root").alias("name"), path.alias("path"), F.concat(F.lit(base), text.url_quote(path)).alias("url"), F.lit("dir").alias("type"))
+
+
 def version_order(natural: bool = False) -> list[Column]:
     """Newest first: by text, or with ``natural`` by the numbers in it."""
     keys = [F.transform(F.regexp_extract_all("version", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("decimal(38,0)")).desc()] if natural else []

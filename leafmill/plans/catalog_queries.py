@@ -127,3 +127,23 @@ def cache_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey")
     return catalog.invalidate(part.where("p_partkey % 3 <> 0"), part.where("p_partkey % 5 = 0"), "p_partkey")[0].agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH i AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages), r AS (SELECT DISTINCT CASE page_id % 4 WHEN 1 THEN host WHEN 2 THEN 'Submodel ' || host END AS root FROM i WHERE page_id % 4 IN (1, 2))
+  SELECT root AS name, concat('published/', root) AS path, concat('https://x/tree/', replace(url_encode(concat('published/', root)), '%2F', '/')) AS url FROM r""")
+def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing page's entries to templates: roots from paths or names, files and entries without a root left out, each root once."""
+    host, k = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)), F.col("page_id") % 4
+    items = table(spark, sf_dir, "pages").select(
+        "page_id", F.when(k == 1, F.concat(host, F.lit("/1/0"))).when(k == 2, "ignored").when(k == 3, "").otherwise(host).alias("name"),
+        F.when(k == 2, F.concat(F.lit("published/Submodel "), host, F.lit("/2"))).when(k == 1, F.concat(F.lit("other/"), host)).alias("path"), F.when(k == 0, "file").otherwise("directory").alias("content_type"),
+    )
+    return catalog.page_roots(items, "https://x/tree/", [F.col("page_id")]).select("name", "path", "url")
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('p', page_id, '.aasx') WHEN 1 THEN concat('q ', page_id, '.json') END AS filename FROM pages""")
+def download_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names out of download headers."""
+    k, n = F.col("page_id") % 3, F.col("page_id").cast("string")
+    header = F.when(k == 0, F.concat(F.lit("attachment; filename=p"), n, F.lit(".aasx"))).when(k == 1, F.concat(F.lit('attachment; filename="q '), n, F.lit('.json"'))).otherwise("inline")
+    return table(spark, sf_dir, "pages").select("page_id", text.disposition_name(header).alias("filename"))
