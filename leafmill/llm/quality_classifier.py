@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .tokens import forget
+from .tokens import forget, give_back
 
 MAX_FIT, MAX_IDS = 8000, 32_000_000
 TRIPLES, LEVELS, SHAPES = 1 << 16, 10, 32
@@ -156,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, max_ids: i
     got = made.toArrow().sort_by("doc_id")
     lists = got.column("ids").combine_chunks()
     flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return fit([flat[a:b] for a, b in zip(at, at[1:], strict=False)], got.column("label").to_numpy().astype(int))
+    model = fit([flat[a:b] for a, b in zip(at, at[1:], strict=False)], got.column("label").to_numpy().astype(int))
+    del got, lists, flat, at
+    give_back()  # the driver goes on without what the fit took
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
