@@ -2,16 +2,17 @@
 
 A message's lines carry nested quote marks (``>``). Neighbouring lines of one level are a passage. A quoted passage's
 words (white space apart, lower case) are hashed as one, and joined, within the conversation, to the first earlier
-message whose own words hold the same run, from the start of a line or sentence on, whatever its line breaks. So whole
-messages, some of their lines, and sentences of a line are found. The message of the shallowest, first linked
-passage is what a message replies to; one without a linked quote replies to the turn before it.
+message whose own words hold the same run, whatever its line breaks: anywhere in it, or, of quotes of less than four words
+(a mere "yes" is in many messages), from the start of a line or sentence on. The message of the shallowest, first
+linked passage is what a message replies to; one without a linked quote replies to the turn before it.
 
 Conversations are in reply order: a thread is a message that replies to none and all that follows from it; in it every
 message is followed by its first reply and what that leads to, then by its other replies, each with what it leads to.
 ``position`` counts from 0 in a conversation; quotes are left out of the texts.
 
-Scale: of an original, runs of those lengths only are hashed that its conversation quotes, and the first message of
-each run is kept, so the join gives one row a quote; nothing gathers a conversation. Replies are followed by pointer
+Scale: the places of a conversation's words where four words stand that begin a quote are found by a join, and only there
+are runs hashed, of those quotes' lengths. The first message of each run is kept, so the last join gives one row a
+quote; nothing gathers a conversation, and a row holds no more than the words of its message. Replies are followed by pointer
 doubling, in as many rounds as the logarithm of the longest chain; positions are counted in ranges of the order.
 
 Defined results: a null text is the empty text; messages of a null conv_id or turn are linked to nothing, are a thread
@@ -32,21 +33,24 @@ MARKS = r"(?s)^((?:[ \t]*+>)*+)[ \t]?(.*)\z"
 #: What comes before the start of a line or sentence.
 BREAK = r"(\n[\x20\x09-\x0D]*+|[.!?…][\"'”’)\]]*+[\x20\x09-\x0D]++)"
 START = "\x01"
+#: Quotes of so many words or more may begin inside a sentence.
+INSIDE = 4
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.translate(text, START, "")), F.lit(WORD), F.lit(0))
 
 
-def with_run_hashes(rows: DataFrame, longest: int) -> DataFrame:
+def with_run_hashes(rows: DataFrame, longest: int, own: str | None = None) -> DataFrame:
     """Adds ``hs``: the hashes of the runs of 1, 2, 4 ... words of ``w`` by their first word, as far as ``longest`` needs
-    them. So a run of any length is hashed in one step, by the two of them that cover it."""
+    them, and in each row no further than its column ``own`` does (null from there on). So a run of any length is hashed in one
+    step, by the two of them that cover it."""
     out = rows.select("*", F.transform("w", lambda x: F.xxhash64(x)).alias("h0"))
     levels = max(longest, 1).bit_length()
     for j in range(levels - 1):
         h, step = f"h{j}", 1 << j
         longer = F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
-        out = out.select("*", longer.alias(f"h{j + 1}"))
+        out = out.select("*", (F.when(F.col(own) >= 2 * step, longer) if own else longer).alias(f"h{j + 1}"))
     return out.select(*rows.columns, F.array(*(f"h{j}" for j in range(levels))).alias("hs"))
 
 
@@ -79,12 +83,13 @@ def named(parsed: DataFrame) -> DataFrame:
 
 
 def quotes(parsed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """conv_id, turn, pos, level, n (words), h: every quoted passage with words in it; and the longest's number of words."""
+    """conv_id, turn, pos, level, n (words), h, a (hash of the first words, where it may begin anywhere): every quoted passage
+    with words in it; and the longest's number of words."""
     each = named(parsed).select("conv_id", "turn", F.posexplode_outer(F.filter("parts", lambda p: p["level"] > 0)).alias("pos", "p")).where("pos is not null")
     each = each.select("conv_id", "turn", "pos", "p.level", _words(F.col("p.text")).alias("w"))
     each = scratch.table(each.select("*", F.size("w").alias("n")).where("n > 0"), "quoted")
     longest = each.agg(F.max("n")).first()[0] or 0
-    return scratch.table(with_run_hashes(each, longest).select("conv_id", "turn", "pos", "level", "n", _run(F.lit(0), F.col("n")).alias("h")), "quotes"), longest
+    return scratch.table(with_run_hashes(each, longest, "n").select("conv_id", "turn", "pos", "level", "n", _run(F.lit(0), F.col("n")).alias("h"), F.when(F.col("n") >= INSIDE, _run(F.lit(0), F.lit(INSIDE))).alias("a")), "quotes"), longest
 
 
 def own_text(parts: Column) -> Column:
@@ -92,21 +97,36 @@ def own_text(parts: Column) -> Column:
     return F.regexp_replace(F.btrim(F.array_join(own, "\n"), F.lit(" \t\n")), r"\n{3,}", "\n\n")
 
 
-def originals(parsed: DataFrame, quoted: DataFrame, longest: int) -> DataFrame:
-    """conv_id, n, h, said (the first turn): runs of ``n`` own words from a line's or sentence's start, for the numbers
-    of words that quotes of the conversation have."""
-    asked = quoted.groupBy("conv_id").agg(F.collect_set("n").alias("ns"))
-    held = asked.agg(F.count(F.lit(1)), F.sum(F.size("ns"))).first()
-    side = F.broadcast(asked) if 32 * held[0] + 8 * (held[1] or 0) <= BROADCAST_BYTES else asked.hint("merge")
+def _small(side: DataFrame, width: int) -> DataFrame:
+    """With the hint to broadcast, if its counted rows of ``width`` bytes allow it."""
+    return F.broadcast(side) if width * side.count() <= BROADCAST_BYTES else side.hint("merge")
+
+
+def originals(parsed: DataFrame, quoted: DataFrame, longest: int, scratch: Scratch) -> DataFrame:
+    """conv_id, n, h, said (the first turn): runs of ``n`` own words, for the numbers of words that quotes of the conversation
+    have; short ones from a line's or sentence's start, longer ones from where a quote's first words stand."""
     spoken = F.translate(own_text(F.col("parts")), START, "")
-    said = named(parsed).join(side, "conv_id").select("conv_id", "turn", "ns", F.regexp_extract_all(F.regexp_replace(F.lower(spoken), BREAK, "$1" + START), F.lit(WORD), F.lit(0)).alias("marked"))
+    said = named(parsed).join(_small(quoted.select("conv_id").distinct(), 32), "conv_id", "left_semi")
+    said = said.select("conv_id", "turn", F.regexp_extract_all(F.regexp_replace(F.lower(spoken), BREAK, "$1" + START), F.lit(WORD), F.lit(0)).alias("marked"))
     at = F.filter(F.transform("marked", lambda x, i: F.when((i == 0) | x.startswith(START), i)), lambda i: i.isNotNull())
-    said = said.select("conv_id", "turn", "ns", at.alias("at"), F.transform("marked", lambda x: F.ltrim(x, F.lit(START))).alias("w"))
-    said = with_run_hashes(said, longest)
-    runs = F.transform("ns", lambda n: F.transform(F.filter("at", lambda i: i + n <= F.size("w")), lambda i: F.struct(n.alias("n"), _run(i, n).alias("h"))))
-    # Both arrays are used twice, and the explosion is outer: otherwise Spark computes them anew in each step, or in a filter.
-    each = said.select("conv_id", "turn", F.explode_outer(F.when((F.size("at") > 0) & (F.size("w") > 0), F.flatten(runs))).alias("r"))
-    return each.where("r is not null").select("conv_id", "turn", "r.*").groupBy("conv_id", "n", "h").agg(F.min("turn").alias("said"))
+    said = said.select("conv_id", "turn", at.alias("at"), F.transform("marked", lambda x: F.ltrim(x, F.lit(START))).alias("w"))
+    said = scratch.table(said.where(F.size("w") > 0), "said")
+    first = lambda runs: runs.groupBy("conv_id", "n", "h").agg(F.min("turn").alias("said"))
+    run_at = lambda n: lambda i: _run(i, n)
+    fits = lambda n: lambda i: i + n <= F.size("w")
+
+    lengths = scratch.table(quoted.where(F.col("n") < INSIDE).select("conv_id", "n").distinct(), "lengths")
+    short = with_run_hashes(said, INSIDE - 1).join(_small(lengths, 32), "conv_id")
+    short = short.select("conv_id", "turn", "n", F.explode_outer(F.transform(F.filter("at", fits(F.col("n"))), run_at(F.col("n")))).alias("h")).where("h is not null")
+
+    begun = scratch.table(quoted.where(F.col("a").isNotNull()).select("conv_id", "a", "n").distinct(), "begun")
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - INSIDE), run_at(F.lit(INSIDE)))
+    places = with_run_hashes(said.where(F.size("w") >= INSIDE), INSIDE).select("conv_id", "turn", F.size("w").alias("of"), F.posexplode_outer(places).alias("i", "a"))
+    found = places.join(_small(begun, 48), ["conv_id", "a"]).where(F.col("i") + F.col("n") <= F.col("of"))
+    found = scratch.table(found.groupBy("conv_id", "turn", "n").agg(F.collect_set("i").alias("is")), "begins")
+    long = with_run_hashes(said.join(found, ["conv_id", "turn"]), longest, "n")
+    long = long.select("conv_id", "turn", "n", F.explode_outer(F.transform(F.filter("is", fits(F.col("n"))), run_at(F.col("n")))).alias("h")).where("h is not null")
+    return first(short).unionByName(first(long))
 
 
 def threads(replies: DataFrame, scratch: Scratch) -> DataFrame:
@@ -146,7 +166,7 @@ def link(messages: DataFrame) -> DataFrame:
     scratch = Scratch(messages.sparkSession)
     parsed = scratch.table(passages(messages), "passages")
     quoted, longest = quotes(parsed, scratch)
-    joined = quoted.join(originals(parsed, quoted, longest), ["conv_id", "n", "h"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
+    joined = quoted.join(originals(parsed, quoted, longest, scratch), ["conv_id", "n", "h"], "left").withColumn("said", F.when(F.col("said") < F.col("turn"), F.col("said")))
     best = F.min(F.when(F.col("said").isNotNull(), F.struct("level", "pos", "said")))
     place = F.struct("pos", "n", "h")
     mine = joined.groupBy("conv_id", "turn").agg(F.countDistinct(place).alias("n_quotes"), F.countDistinct(F.when(F.col("said").isNotNull(), place)).alias("n_linked"), best["said"].alias("to"))

@@ -45,7 +45,7 @@ def brute(rows):
                 heads.add(at)
                 at += len(words(unit))
             runs[t] = (words(o), heads - {n})
-        held = lambda t, q: any(runs[t][0][h : h + len(q)] == q for h in runs[t][1])  # noqa: E731, B023
+        held = lambda t, q: any(runs[t][0][h : h + len(q)] == q for h in (runs[t][1] if len(q) < 4 else range(len(runs[t][0]))))  # noqa: E731, B023
         reply, depth, thread, kids = {}, {}, {}, {}
         for t in sorted(texts):
             quoted = [(k, i, words(x)) for i, (k, x) in enumerate([p for p in texts[t] if p[0] > 0]) if words(x)]
@@ -128,3 +128,14 @@ def test_lines_with_unicode_line_ends(spark, mark):
     rows = [(1, 0, "user", f"first{mark}second"), (1, 1, "user", "other"), (1, 2, "user", f"> first{mark}second\nYes{mark}no.")]
     got = {r.turn: r for r in chat_quotes.link(frame(spark, rows)).collect()}
     assert got[0].own_text == f"first{mark}second" and got[2].own_text == f"Yes{mark}no." and (got[2].n_linked, got[2].reply_to) == (1, 0)
+
+
+def test_quotes_that_begin_inside_a_sentence(spark):
+    said = "We met in the old house by the river, and later in the old house by the sea. In the end all of us went home."
+    long = " ".join(f"w{i}" for i in range(3000))
+    asked = ["> the old house by the sea.", "> the old house by the road.", "> by the sea.", "> old house by\n> the river, and later in", "> went home.", "> us went home. And", "> all of us went home."]
+    rows = [(1, 0, "a", said), (1, 1, "b", long), *[(1, 2 + i, "c", q + "\nwhy?") for i, q in enumerate(asked)], (1, 20, "c", "> " + " ".join(f"w{i}" for i in range(7, 2990))), (2, 0, "a", "other"), (2, 1, "b", asked[0])]
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in chat_quotes.link(frame(spark, rows)).collect()}
+    assert [got[1, 2 + i][0] for i in range(len(asked))] == [1, 0, 0, 1, 0, 0, 1] and got[1, 2] == (1, 0) and got[1, 20] == (1, 1) and got[2, 1] == (0, 0)
+    facts, _ = brute(rows)
+    assert {k: (v[4], v[0]) for k, v in facts.items()} == got
