@@ -153,12 +153,12 @@ def item_windows(items: DataFrame) -> DataFrame:
 def places(docs: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     """id, th, hash, width, from: the first tokens of the document windows that have a hash of the benchmark."""
     known = scratch.table(windows.select("hash", "kind", "width").distinct(), "known")
-    kinds = {r.kind for r in known.select("kind").distinct().collect()}  # three values at most
+    rows = {r.kind: r.rows for r in known.groupBy("kind").agg(F.count(F.lit(1)).alias("rows")).collect()}  # three kinds at most
     base = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), tokens(F.col("text")).alias("raw"))
-    base = hashed(base.select("*", template(F.col("raw")).alias("canon")), SEED in kinds, 1 in kinds)
+    base = hashed(base.select("*", template(F.col("raw")).alias("canon")), SEED in rows, 1 in rows)
     # Outer: for others Spark adds a filter on the array's size, and takes all the expressions of the text into it once more.
     each = base.select("id", "th", "n", F.posexplode_outer("hashes").alias("at", "hash"))
-    hits = each.join(broadcast_if_small(known, 64), "hash").where(F.col("kind") == F.when(F.col("n") < SEED, 1).when(F.col("at") < F.col("n"), WINDOW).otherwise(SEED))
+    hits = each.join(broadcast_if_small(known, 64, rows=sum(rows.values())), "hash").where(F.col("kind") == F.when(F.col("n") < SEED, 1).when(F.col("at") < F.col("n"), WINDOW).otherwise(SEED))
     pos = F.col("at") % F.col("n")
     # Windows of one hash without slots are equal, and one of them is enough.
     apart = F.when((F.col("kind") != WINDOW) | (_low(F.col("hash")) > 0), pos)
@@ -171,7 +171,8 @@ def shared_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     at = at.select(F.col("id").alias("i"), F.col("th").alias("t"), "at")
     need = found.select(F.col("id").alias("i"), F.col("th").alias("t")).distinct()
     text = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    text = text.join(broadcast_if_small(need, 64), text["id"].eqNullSafe(need["i"]) & (text["th"] == need["t"]), "left_semi").dropDuplicates(["id", "th"])
+    # Distinct by the text too: as a value beside the keys it would need sorted aggregates.
+    text = text.join(broadcast_if_small(need, 64), text["id"].eqNullSafe(need["i"]) & (text["th"] == need["t"]), "left_semi").distinct()
     both = text.join(at, text["id"].eqNullSafe(at["i"]) & (text["th"] == at["t"])).select("id", "th", "at", tokens(F.col("text")).alias("raw"))
     both = both.select("id", "th", "at", F.transform("raw", F.lower).alias("fold"), template(F.col("raw")).alias("canon"))
     part = lambda of, p: F.slice(of, p["from"] + 1, p["width"])

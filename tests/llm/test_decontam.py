@@ -9,6 +9,7 @@ import regex
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontam
+from leafmill.llm.common import Scratch
 
 from .odd import ROWS, frame
 
@@ -215,3 +216,16 @@ def test_template_types(spark):
     row = spark.createDataFrame([("Anna paid 3.5 km and 7 euros, don't run m. What",)], "text string").select(decontam.tokens(F.col("text")).alias("raw"))
     got = row.select(decontam.template(F.col("raw")).alias("t")).first().t
     assert got == ["<c>", "paid", "<n>", "<u>", "and", "<n>", "<u>", "don't", "run", "m", "what"]
+
+
+def test_texts_need_no_sorted_aggregate(spark, tmp_path):
+    """Each task of such an aggregate sorts and makes code of its own, however few rows it has."""
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = frame(spark, [(1, ITEMS[0][1]), (1, ITEMS[0][1]), (None, ITEMS[0][1]), (2, ITEMS[0][1])])
+    scratch = Scratch(spark)
+    windows = scratch.table(decontam.item_windows(items), "windows")
+    shared = decontam.shared_windows(docs, decontam.places(docs, windows, scratch))
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    one = shared.where("id = 1").drop("id").collect()
+    assert one and shared.count() == 3 * len(one) and shared.where("id is null").count() == len(one)
