@@ -59,6 +59,12 @@ def walk(first: DataFrame, below: Callable[[DataFrame], DataFrame], name: str) -
         level = below(left.drop("more"))
 
 
+def paired(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Two tables that both grow, joined by shuffling both. Left to itself Spark goes by the bytes of files, and landed labels
+    and repeated values take so few that it broadcasts millions of rows, which the driver has to hold."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def meet(rows: DataFrame, small: DataFrame, on: list[str], key: str, spread: str, how: str = "inner", width: str | None = None) -> DataFrame:
     """``rows`` joined to ``small``, a landed table that many rows may meet with one ``key`` (one of ``on``). It is broadcast if
     its counted bytes (its rows, and the text in column ``width``) allow that; else rows of a hot key are spread by a hash
@@ -70,13 +76,13 @@ def meet(rows: DataFrame, small: DataFrame, on: list[str], key: str, spread: str
     hot = rows.groupBy(key).count().where(F.col("count") > HOT).select(key, F.least(F.ceil(F.col("count") / HOT), F.lit(256)).cast("int").alias("__salts"))
     hot = land(hot, "hot")
     few = hot.count()
-    hot = F.broadcast(hot) if few * 200 <= BROADCAST_BYTES else hot
     if not few:
-        return rows.join(small, on, how)
+        return paired(rows, small, on, how)
+    hot = F.broadcast(hot) if few * 200 <= BROADCAST_BYTES else hot.hint("merge")
     salts = F.coalesce("__salts", F.lit(1))
     many = small.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     dealt = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.hash(spread), salts)).drop("__salts")
-    return dealt.join(many, [*on, "__salt"], how).drop("__salt")
+    return paired(dealt, many, [*on, "__salt"], how).drop("__salt")
 
 
 @atexit.register

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cardinality
-from ..landing import dealt, land, walk
+from ..landing import dealt, land, paired, walk
 
 #: The keys that hold children.
 ROLES = ("elements", "items", "statements", "annotations", "inputVariables", "outputVariables", "inoutputVariables")
@@ -103,7 +103,7 @@ def subtrees(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     """The nodes at and below each of ``tops`` (template, sort as ``top``), with the top's label: every node meets its ancestors by
     equality, so a subtree of any size is spread over all tasks and no pairs are made but those of the result."""
     each = nodes.where("error IS NULL").withColumn("top", F.explode(prefixes("sort")))
-    return each.join(tops.select("template", "top").distinct(), ["template", "top"])
+    return paired(each, tops.select("template", "top").distinct(), ["template", "top"])
 
 
 def field(name: str, node: str = "node") -> Column:
