@@ -214,7 +214,7 @@ def default_documents(nodes: DataFrame) -> DataFrame:
     held = nodes.where("role = 'statements'").select("template", parent("sort").alias("sort"), F.lit(True).alias("held")).distinct()
     seen = nodes.where("error IS NULL").where(F.forall("steps", lambda s: s.rlike(r"^[.:\[].")))  # what a form can hold
     best = seen.groupBy("template", "steps").agg(F.max("sort").alias("sort"))  # the later of two of one name
-    kept = seen.join(best, ["template", "steps", "sort"]).join(held, ["template", "sort"], "left")
+    kept = paired(paired(seen, best, ["template", "steps", "sort"]), held, ["template", "sort"], "left")
     rows = kept.select("template", "steps", "role", "ord", F.concat(F.lit("{"), body, F.lit("}")).alias("own"))
     tops = nodes.where("error IS NULL").select("template").distinct().select("template", F.expr("CAST(array() AS array<string>)").alias("steps"), F.lit("root").alias("role"), F.lit(0).alias("ord"), F.lit("{}").alias("own"))
     return forms.renest(land(rows.unionByName(tops), "defaults"), ("template",))

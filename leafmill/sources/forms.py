@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..landing import dealt, land, walk
+from ..landing import dealt, land, paired, walk
 from ..operators import tree
 
 _KID = "struct<role: string, ord: int, name: string, step: string, v: variant>"
@@ -71,7 +71,7 @@ def renest(rows: DataFrame, keys: tuple[str, ...] = ("submission_id",)) -> DataF
     for n in range(top or 0, -1, -1):
         level = rows.where(F.size("steps") == n).select(*keys, "steps", "role", "ord", "own")
         if below is not None:
-            level = level.join(below.withColumnRenamed("up", "steps"), [*keys, "steps"], "left")
+            level = paired(level, below.withColumnRenamed("up", "steps"), [*keys, "steps"], "left")
             inner = F.expr("substring(own, 2, length(own) - 2)")
             level = level.withColumn("own", F.when(F.col("parts").isNull(), F.col("own")).otherwise(F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inner, F.lit("")), "parts"), F.lit("}")))).drop("parts")
         if n == 0:

@@ -18,3 +18,11 @@ def test_subtrees(spark):
     nodes = tree.flatten(templates(spark))
     under = tree.subtrees(nodes, nodes.where("depth = 0").select("template", F.col("sort").alias("top")))
     assert merged(under, "template", "top") == 1 and under.count() > nodes.count() / 2
+
+
+def test_default_documents(spark, monkeypatch):
+    landed, land = {}, tree.land
+    monkeypatch.setattr(tree, "land", lambda df, name: landed.setdefault(name, df) and land(df, name))
+    docs = tree.default_documents(tree.flatten(templates(spark)))
+    assert merged(landed["defaults"], "template", "steps", "sort") == merged(landed["defaults"], "template", "sort") == 1
+    assert merged(docs, "template", "steps") == 4 and docs.count() == 1
