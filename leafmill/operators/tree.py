@@ -155,7 +155,7 @@ def renest(nodes: DataFrame, keys: tuple[str, ...] = ("template",)) -> DataFrame
     for depth in range(top, -1, -1):
         level = nodes.where((F.col("depth") == depth) & (F.col("role") != "itemTemplate")).select(*keys, "sort", parent("sort").alias("up"), "role", "ord", "own")
         if below is not None:
-            level = level.join(below.withColumnRenamed("up", "sort"), [*keys, "sort"], "left")
+            level = paired(level, below.withColumnRenamed("up", "sort"), [*keys, "sort"], "left")
             inner = F.expr("substring(own, 2, length(own) - 2)")
             whole = F.concat(F.lit("{"), F.concat_ws(",", F.nullif(inner, F.lit("")), "parts"), F.lit("}"))
             level = level.select(*by, "role", "ord", whole.alias("json"))

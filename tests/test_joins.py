@@ -26,3 +26,8 @@ def test_default_documents(spark, monkeypatch):
     docs = tree.default_documents(tree.flatten(templates(spark)))
     assert merged(landed["defaults"], "template", "steps", "sort") == merged(landed["defaults"], "template", "sort") == 1
     assert merged(docs, "template", "steps") == 4 and docs.count() == 1
+
+
+def test_renest(spark):
+    docs = tree.renest(tree.flatten(templates(spark)))
+    assert merged(docs, "template", "sort") == 3 and docs.count() == 1
