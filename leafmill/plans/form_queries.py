@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cardinality, language, references
+from ..landing import paired
 from ..operators import hydrate, tree, typing, validate
 from ..sources import forms
 from .registry import query, table
@@ -355,7 +356,7 @@ def forms_renested(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = submissions(spark, sf_dir).unionByName(client_submissions(spark, sf_dir).withColumn("submission_id", F.concat(F.lit("p"), "submission_id")))
     back = forms.renest(forms.flatten(subs, whole=True)).withColumnRenamed("form", "back")
     same = F.expr("to_json(try_parse_json(form)) = to_json(try_parse_json(back))")
-    return subs.join(back, "submission_id", "left").select("submission_id", F.coalesce(same, F.lit(False)).alias("same"))
+    return paired(subs, back, ["submission_id"], "left").select("submission_id", F.coalesce(same, F.lit(False)).alias("same"))
 
 
 @query("""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS template, string_agg(concat('{"elements":{"Priority":{"value":"', o_orderpriority, '"},"Status":{"value":"', o_orderstatus, '"}}}'), ',' ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey)

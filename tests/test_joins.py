@@ -5,7 +5,9 @@ import re
 from pyspark.sql import functions as F
 
 from leafmill.operators import tree
-from tests.fixtures import templates
+from leafmill.plans import form_queries
+from leafmill.sources import forms
+from tests.fixtures import GOOD, submissions, templates
 
 
 def merged(df, *keys):
@@ -31,3 +33,10 @@ def test_default_documents(spark, monkeypatch):
 def test_renest(spark):
     docs = tree.renest(tree.flatten(templates(spark)))
     assert merged(docs, "template", "sort") == 3 and docs.count() == 1
+
+
+def test_form_renest(spark):
+    rows = forms.flatten(submissions(spark, {"s": GOOD}), whole=True)
+    back = forms.renest(rows)
+    assert merged(back, "submission_id", "steps") == 3 and back.count() == 1
+    assert merged(form_queries.forms_renested(spark, "/root/testdata/sf0.001"), "submission_id") == 1
