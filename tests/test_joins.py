@@ -4,10 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import tree
+from leafmill.operators import tree, validate
 from leafmill.plans import form_queries
 from leafmill.sources import forms
-from tests.fixtures import GOOD, submissions, templates
+from tests.fixtures import GOOD, submissions, templates, with_
 
 
 def merged(df, *keys):
@@ -40,3 +40,9 @@ def test_form_renest(spark):
     back = forms.renest(rows)
     assert merged(back, "submission_id", "steps") == 3 and back.count() == 1
     assert merged(form_queries.forms_renested(spark, "/root/testdata/sf0.001"), "submission_id") == 1
+
+
+def test_validation(spark):
+    flat = forms.flatten(submissions(spark, {"s": GOOD, "t": with_(Serial=...)}))
+    found = validate.run(tree.flatten(templates(spark)), flat)
+    assert merged(found, "submission_id", "steps") == 1 and found.count() == 1
