@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cardinality
-from ..landing import land, meet
+from ..landing import land, meet, paired
 from . import tree
 
 #: Texts that are numbers to the client, after trimming; the first part in base 10.
@@ -81,7 +81,7 @@ def run(nodes: DataFrame, forms: DataFrame) -> DataFrame:
     cannot be read, see ``validate.unreadable``."""
     schema = land(compiled(nodes), "compiled")
     look = schema.select("template", F.col("schema_steps").alias("parent_schema"), F.col("kind").alias("parent_kind"))
-    named = schema.where("role IN ('elements', 'statements')").join(look, ["template", "parent_schema"], "left")
+    named = paired(schema.where("role IN ('elements', 'statements')"), look, ["template", "parent_schema"], "left")
     inside = F.coalesce(F.col("parent_kind"), F.lit(tree.COLLECTION))
     named = land(named.where(((F.col("role") == "elements") & (inside == tree.COLLECTION)) | ((F.col("role") == "statements") & (inside == tree.ENTITY))).drop("schema_steps", "parent_kind"), "named")
     items = land(schema.where("step = '['").select("template", "schema_steps", "sort", "kind", "type", "required", "min_items"), "items")
@@ -93,6 +93,6 @@ def run(nodes: DataFrame, forms: DataFrame) -> DataFrame:
     name = F.substr("step", F.lit(2))
     rows = rows.select("submission_id", F.array_append("at_steps", F.col("step")).alias("steps"), F.when(F.col("at") == "", name).otherwise(F.concat("at", F.lit("."), name)).alias("field"), "sort", "kind", "type", "required", "min_items")
     listed = meet(good.where("role = 'items'").select("submission_id", "template", "steps", F.col("path").alias("field"), "schema_steps"), items, ["template", "schema_steps"], "template", "submission_id")
-    rows = rows.unionByName(listed.select(*rows.columns)).join(mine, ["submission_id", "steps"], "left").withColumn("here", F.coalesce("__here", F.lit(False)))
+    rows = paired(rows.unionByName(listed.select(*rows.columns)), mine, ["submission_id", "steps"], "left").withColumn("here", F.coalesce("__here", F.lit(False)))
     found = F.filter(F.array(*rules()), lambda x: x.isNotNull())
     return rows.select("submission_id", "sort", "steps", "field", F.explode(found).alias("f")).select("submission_id", "sort", "steps", "field", "f.*")

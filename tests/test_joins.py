@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import tree, validate
+from leafmill.operators import tree, typing, validate
 from leafmill.plans import form_queries
 from leafmill.sources import forms
 from tests.fixtures import GOOD, submissions, templates, with_
@@ -46,3 +46,9 @@ def test_validation(spark):
     flat = forms.flatten(submissions(spark, {"s": GOOD, "t": with_(Serial=...)}))
     found = validate.run(tree.flatten(templates(spark)), flat)
     assert merged(found, "submission_id", "steps") == 1 and found.count() == 1
+
+
+def test_client_typing(spark):
+    flat = forms.flatten(submissions(spark, {"s": GOOD}), whole=True)
+    found = typing.run(tree.flatten(templates(spark)), flat)
+    assert merged(found, "submission_id", "steps") == 1 and found.count() > 0
