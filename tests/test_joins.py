@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import tree, typing, validate
+from leafmill.operators import hydrate, tree, typing, validate
 from leafmill.plans import form_queries
 from leafmill.sources import forms
 from tests.fixtures import GOOD, submissions, templates, with_
@@ -52,3 +52,13 @@ def test_client_typing(spark):
     flat = forms.flatten(submissions(spark, {"s": GOOD}), whole=True)
     found = typing.run(tree.flatten(templates(spark)), flat)
     assert merged(found, "submission_id", "steps") == 1 and found.count() > 0
+
+
+def test_hydration(spark, monkeypatch):
+    landed, land = {}, hydrate.land
+    monkeypatch.setattr(hydrate, "land", lambda df, name: landed.setdefault(name, []).append(df) or land(df, name))
+    subs = submissions(spark, {"s": GOOD})
+    done = hydrate.merge(subs, tree.flatten(templates(spark)), forms.flatten(subs))
+    assert merged(landed["merged"][0], "submission_id", "steps") == 1 and done.count() > 0
+    assert merged(landed["level"][0], "submission_id") == 1  # without the bad ones
+    assert merged(landed["level"][1], "submission_id", "steps") == 2  # lists, and what forms ask of them: for clones and prototypes
