@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..landing import land
+from ..landing import dealt, land
 from ..operators import hydrate, tree
 from ..sinks import packages as sink
 from ..sinks import report
@@ -45,8 +45,9 @@ def export_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, 'BadZipFile' AS error FROM customer WHERE c_custkey % 2 = 0")
 def package_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is no archive becomes a row with an error."""
-    content = F.when(F.col("c_custkey") % 2 == 0, F.encode("c_name", "UTF-8")).otherwise(sink.package(F.lit('{"elements":[]}'), "c_name"))
-    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("package"), content.alias("content"))
+    odd = F.when(F.col("c_custkey") % 2 != 0, '{"elements":[]}')  # Python makes a package of every row that it gets, whatever is asked around it
+    content = F.coalesce(sink.package(odd, "c_name"), F.encode("c_name", "UTF-8"))
+    files = dealt(table(spark, sf_dir, "customer")).select(F.col("c_custkey").cast("string").alias("package"), content.alias("content"))
     bad = source.parts(files).where("error is not null")
     return bad.select(F.col("package").cast("long").alias("c_custkey"), F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))
 

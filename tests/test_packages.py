@@ -89,3 +89,21 @@ def test_deep_documents(spark):
     docs = spark.createDataFrame([("deep", f'{{"elements":[{deep}]}}'), ("flat", '{"elements":[{"idShort":"x"}]}')], "template string, doc string")
     nodes = tree.flatten(docs)  # no level is cut
     assert nodes.where("template = 'flat'").count() == 1 and nodes.where("template = 'deep'").count() == 60 and tree.unreadable(nodes).count() == 0
+
+
+def test_parts_of_many_packages_are_passed_on_together(spark):
+    """A frame a package costs more than what is in it."""
+    files = spark.createDataFrame([(f"p{i}", bytearray(zipped({"a.txt": str(i)}) if i % 2 else b"no zip")) for i in range(50)], "package string, content binary")
+    sent = []
+
+    class Seen:
+        """Takes what a task would send."""
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            sent.extend(run(iter([files.toPandas()])))
+
+    source.parts(Seen())
+    assert [len(x) for x in sent] == [50] and sent[0]["error"].isna().sum() == 25 and source.parts(files).count() == 50
