@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..landing import dealt, land
+from ..landing import dealt, land, paired
 from ..operators import hydrate, tree
 from ..sinks import packages as sink
 from ..sinks import report
@@ -74,7 +74,7 @@ def package_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = land(source.parts(_xml_packages(spark, sf_dir)), "parts")
     nodes = tree.flatten(source.objects(parts).where("kind = 'submodel'").select(F.col("package").alias("template"), "doc"))
     stored = source.supplementary(nodes.withColumn("base", F.lit("/aasx/data.xml")), parts).select(F.col("package").alias("template"), "path", "stored")
-    return nodes.join(stored, ["template", "path"], "left").select("template", "path", F.coalesce("stored", tree.field("value")).alias("value"))
+    return paired(nodes, stored, ["template", "path"], "left").select("template", "path", F.coalesce("stored", tree.field("value")).alias("value"))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS package, 'submodel' AS kind, 'urn:s' AS id, c_name AS held FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'concept', concat('urn:', c_mktsegment), NULL FROM customer
@@ -119,7 +119,7 @@ def _rich_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("package"), env.alias("env"))
     files = base.select(F.col("package").alias("batch"), F.lit("aasx/data.json").alias("filename"), F.encode("env", "UTF-8").alias("content"))
-    return base.join(sink.archive(files).select(F.col("batch").alias("package"), F.col("archive").alias("content")), "package")
+    return paired(base, sink.archive(files).select(F.col("batch").alias("package"), F.col("archive").alias("content")), ["package"])
 
 
 @query("SELECT c_custkey, true AS json_same, true AS xml_same FROM customer")
@@ -130,7 +130,7 @@ def package_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = land(source.objects(parts), "objects")
     as_xml = land(source.parts(sink.packages(found, parts, "xml")), "parts")
     plain = lambda c: F.expr(f"to_json(try_parse_json({c}))")  # noqa: E731  keys in order
-    stores = packages.join(sink.stores(found).withColumnRenamed("env", "j"), "package").join(sink.stores(source.objects(as_xml)).withColumnRenamed("env", "x"), "package")
+    stores = paired(paired(packages, sink.stores(found).withColumnRenamed("env", "j"), ["package"]), sink.stores(source.objects(as_xml)).withColumnRenamed("env", "x"), ["package"])
     # XML has texts only: the numbers of a field of no format come back as such.
     texts = F.replace("env", F.lit('"k":[1,2.5]'), F.lit('"k":{"k":"2.5"}'))
     return stores.select(F.col("package").cast("long").alias("c_custkey"), (plain("env") == plain("j")).alias("json_same"), (F.expr("to_json(try_parse_json(x))") == F.to_json(F.try_parse_json(texts))).alias("xml_same"))

@@ -10,12 +10,15 @@ import base64
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.packages import fields
+from ..landing import paired
+from ..sources.packages import HELD, fields
 from . import xml
 
 FORMATS = ("aasx", "json")
@@ -161,15 +164,25 @@ def packages(found: DataFrame, parts: DataFrame, form: str = "json") -> DataFram
     data = envs if form == "json" else xml.documents(envs)
     read = found.where("error is null").select("package", "part").distinct()
     own = F.col("part").contains("_rels/") | F.col("part").isin("/[Content_Types].xml", "/aasx/aasx-origin", "/aasx/data.json", "/aasx/data.xml")
-    rest = parts.where(F.col("content").isNotNull() & ~own).join(read, ["package", "part"], "left_anti")
+    rest = paired(parts.where(F.col("content").isNotNull() & ~own), read, ["package", "part"], "left_anti")
     files = rest.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("files"))
 
-    @F.pandas_udf("binary")
-    def make(data: pd.Series, files: pd.Series) -> pd.Series:
-        more = lambda f: [(x["part"], x["content"]) for x in (f if f is not None else ())]
-        return pd.Series([_package(json.loads(d) if form == "json" else d, more(f)) for d, f in zip(data, files, strict=True)], dtype=object)
-
-    return data.join(files, "package", "left").select("package", make("env" if form == "json" else "xml", "files").alias("content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = lambda made: pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.string()), pa.array([c for _, c in made], pa.binary())], names=["package", "content"])
+        made, size = [], 0  # of texts and files, which are larger than the archive, one package's are held beside Arrow's
+        for b in batches:
+            for name, d, f in zip(*(b.column(i) for i in range(3)), strict=True):
+                env = json.loads(d.as_py()) if form == "json" else d.as_py()
+                made.append((name.as_py(), _package(env, [(x["part"], x["content"]) for x in f.as_py() or ()])))
+                size += len(made[-1][1])
+                if size >= HELD or len(made) >= 1000:
+                    yield frame(made)
+                    made, size = [], 0
+        if made:
+            yield frame(made)
+
+    both = paired(data, files, ["package"], "left").select(F.col("package").cast("string").alias("package"), "env" if form == "json" else "xml", "files")
+    return both.mapInArrow(run, "package string, content binary")
 
 
 def package(doc: Column | str, name: Column | str) -> Column:

@@ -1,13 +1,18 @@
 """Joins of tables that both grow shuffle both sides, however few bytes their files have."""
 
+import json
 import re
 
 from pyspark.sql import functions as F
 
+from leafmill.landing import land
 from leafmill.operators import hydrate, tree, typing, validate
-from leafmill.plans import form_queries
+from leafmill.plans import form_queries, package_queries
+from leafmill.sinks import packages as sink
 from leafmill.sources import forms
+from leafmill.sources import packages as source
 from tests.fixtures import GOOD, submissions, templates, with_
+from tests.test_packages import read, zipped
 
 
 def merged(df, *keys):
@@ -62,3 +67,13 @@ def test_hydration(spark, monkeypatch):
     assert merged(landed["merged"][0], "submission_id", "steps") == 1 and done.count() > 0
     assert merged(landed["level"][0], "submission_id") == 1  # without the bad ones
     assert merged(landed["level"][1], "submission_id", "steps") == 2  # lists, and what forms ask of them: for clones and prototypes
+
+
+def test_packages(spark):
+    part = json.dumps({"submodels": [{"modelType": "Submodel", "id": "urn:s", "submodelElements": []}]})
+    parts = land(read(spark, zipped({"aasx/data.json": part, "files/a.txt": "x"})), "parts")
+    found = land(source.objects(parts), "objects")
+    again = sink.packages(found, parts)
+    assert merged(again, "package") == merged(again, "package", "part") == 1 and source.parts(again).count() == 6
+    same = package_queries.package_lossless(spark, "/root/testdata/sf0.001")
+    assert merged(same, "package") == 2
