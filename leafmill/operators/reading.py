@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language, references, text, xsd
-from ..landing import land, meet
+from ..landing import land, meet, paired
 from . import tree
 
 _ENTRIES = "array<struct<lang:string,text:string>>"
@@ -35,8 +35,8 @@ def concept_of(nodes: DataFrame, cds: DataFrame) -> DataFrame:
     short id of a concept, and of its concepts the first of the store."""
     each = nodes.select("template", "sort", "package", "ref_kind", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "k")).select("*", F.col("k.value").alias("key")).where("key IS NOT NULL AND (ref_kind <> 'ModelReference' OR n = 1)")
     cd = cds.select(F.col("package").alias("p"), "id", "id_short", F.struct(*cds.columns).alias("cd"))
-    by_id = each.join(cd.select("p", F.col("id").alias("key"), "cd").withColumnRenamed("p", "package"), ["package", "key"])
-    by_name = each.where("ref_kind <> 'ModelReference'").join(cd.select(F.col("p").alias("package"), F.col("id_short").alias("key"), "cd"), ["package", "key"])
+    by_id = paired(each, cd.select("p", F.col("id").alias("key"), "cd").withColumnRenamed("p", "package"), ["package", "key"])
+    by_name = paired(each.where("ref_kind <> 'ModelReference'"), cd.select(F.col("p").alias("package"), F.col("id_short").alias("key"), "cd"), ["package", "key"])
     return by_id.unionByName(by_name).groupBy("template", "sort").agg(F.min_by("cd", F.struct("pos", F.col("cd.cd_ord"))).alias("cd"))
 
 
@@ -45,10 +45,10 @@ def records(found: DataFrame) -> DataFrame:
     model_type, semantic_id, semantic_label, description (own, else of the concept: a language map), qualifiers (JSON), cardinality,
     category; value_type, value, value_id, unit (through model references only), and for inputs input_type, step, low, high."""
     docs = land(documents(found), "documents")
-    own = tree.flatten(docs.select("template", "doc")).where("error IS NULL").join(docs.select("template", "package"), "template")
+    own = paired(tree.flatten(docs.select("template", "doc")).where("error IS NULL"), docs.select("template", "package"), ["template"])
     field = tree.field
     nodes = land(own.withColumn("keys", F.from_json(field("semanticKeys"), references.TYPE)).withColumn("ref_kind", F.coalesce(field("semanticRefKind"), F.lit("ExternalReference"))), "nodes")
-    out = nodes.join(concept_of(nodes.where("size(keys) > 0"), concepts(found)), ["template", "sort"], "left")
+    out = paired(nodes, concept_of(nodes.where("size(keys) > 0"), concepts(found)), ["template", "sort"], "left")
     kind, blank = F.col("model_type"), text.blank_to_null
     label = F.coalesce(blank(language.pick("cd.preferred_name")), blank(language.pick("cd.display_name")))
     said = lambda c: F.when(F.size(c) > 0, F.to_json(F.map_from_entries(F.col(c))))
@@ -75,7 +75,7 @@ def resolve(refs: DataFrame, found: DataFrame, across: bool = True) -> DataFrame
     named = found.where("error IS NULL AND id IS NOT NULL").select("package", "kind", F.col("id").alias("key"), F.struct("part", "ord").alias("place"), F.concat_ws("|", "package", "part", F.col("ord").cast("string")).alias("template"))
     named = land(named.groupBy("package", "key").agg(F.min_by(F.struct("kind", "template"), "place").alias("t")), "identifiables")
     at = refs.select("ref", "package", "keys", F.get("keys", 0)["value"].alias("key"))
-    own = at.join(named, ["package", "key"], "left").withColumn("where", F.when(F.col("t").isNotNull(), F.col("package")))
+    own = paired(at, named, ["package", "key"], "left").withColumn("where", F.when(F.col("t").isNotNull(), F.col("package")))
     if across:
         first = land(named.groupBy("key").agg(F.min_by(F.struct("package", "t"), "package").alias("o")), "elsewhere")
         own = meet(own, first, ["key"], "key", "ref", "left").withColumn("where", F.coalesce("where", "o.package")).withColumn("t", F.coalesce("t", "o.t")).drop("o")
@@ -92,7 +92,7 @@ def resolve(refs: DataFrame, found: DataFrame, across: bool = True) -> DataFrame
         more = (F.size("keys") > i) & F.col("dangling").isNull()
         value = F.get("keys", i)["value"]
         step = front.withColumn("token", F.when(more, F.when(F.col("kind") == tree.LIST, F.concat(F.lit("["), value)).otherwise(value))).withColumnRenamed("sort", "up")
-        step = step.join(nodes, ["template", "up", "token"], "left")
+        step = paired(step, nodes, ["template", "up", "token"], "left")
         keep = lambda new, old: F.when(more, new).otherwise(old)  # noqa: E731, B023
         front = land(step.select("ref", "package", "keys", "target_package", "template", keep(F.col("n.sort"), F.col("up")).alias("sort"), keep(F.col("n.path"), F.col("path")).alias("path"), keep(F.col("n.model_type"), F.col("kind")).alias("kind"), F.when(more & F.col("n").isNull(), i).otherwise(F.col("dangling")).alias("dangling")), "front")
     empty = F.coalesce(F.size("keys"), F.lit(0)) < 1
