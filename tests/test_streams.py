@@ -220,3 +220,19 @@ def test_cache_stream_tells_what_ended_over_a_restart(spark, tmp_path):
     ended = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("key", *[F.col(c).cast("timestamp_ntz") for c in ("since", "last", "until")], "writes").collect()), key=str)
     mark = max(t for _, t in rows) - HOUR
     assert ended == [s for s in sessions(rows) if s[3] <= mark]
+
+
+def test_a_batch_of_many_uploads_is_few_tasks(spark, tmp_path):
+    """Files are listed and read by some tasks, not by one each, and every archive is read once."""
+    at = tmp_path / "in"
+    at.mkdir()
+    for i in range(70):
+        (at / f"{i}.aasx").write_bytes(b"no zip" if i % 2 else zipped({"a.json": submodels(f"urn:{i}")}))
+    before, tracker = spark.conf.get(uploads.LISTING), spark.sparkContext.statusTracker()
+    query = uploads.ingest(spark, str(at), f"{tmp_path}/tables", f"{tmp_path}/stream")
+    query.awaitTermination()
+    jobs = tracker.getJobIdsForGroup(str(query.runId))
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism * 2 and spark.conf.get(uploads.LISTING) == before
+    held = uploads.objects(spark, f"{tmp_path}/tables")
+    assert held.where("kind = 'submodel'").count() == 35 and held.where("error is not null").count() == 1  # equal bytes are read once
